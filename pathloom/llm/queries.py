@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import gif, packing, quality, topk
+from pathloom.llm import gif, mixing, packing, quality, topk
 from pathloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids_le32")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"))))
@@ -30,11 +34,13 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
     "op9_gif": op9_gif,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
     "op3_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
