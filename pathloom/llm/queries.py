@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import gif, mixing, packing, quality, repeats, topk
+from pathloom.llm import chunking, gif, mixing, packing, quality, repeats, topk
 from pathloom.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"))))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = chunking.dedup_chunks(table(spark, sf_dir, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.media_columns(table(spark, sf_dir, "documents")))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_gif": op9_gif,
 }
 
