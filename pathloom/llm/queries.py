@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import chunking, gif, mixing, packing, quality, repeats, topk
+from pathloom.llm import chunking, gif, mixing, neardup, packing, quality, repeats, topk
 from pathloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_gif": op9_gif,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
