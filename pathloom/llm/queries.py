@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import chunking, gif, mixing, neardup, packing, quality, repeats, topk
+from pathloom.llm import chunking, gif, mixing, neardup, packing, private, quality, repeats, topk
 from pathloom.llm.common import table
 
 
+def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(table(spark, sf_dir, "documents"))
+    kinds = F.col("base.kind")
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(private.KINDS)]
+    digest = F.sha2(private.written(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, private.written(F.col("spans")).alias("spans"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_private": op2_private,
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
