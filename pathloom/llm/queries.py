@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import chunking, gif, mixing, neardup, packing, private, quality, repeats, topk
+from pathloom.llm import chunking, gif, licenses, mixing, neardup, packing, private, quality, repeats, topk
 from pathloom.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private.find_private(table(spark, sf_dir, "documents"))
     kinds = F.col("base.kind")
@@ -55,6 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_private": op2_private,
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
     "op5_mixing": mixing.ORACLE,
     "op3_topk": """
         WITH v AS (
