@@ -58,15 +58,19 @@ def shingles(text: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= WORDS, F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WORDS))))).otherwise(F.expr("cast(array() AS array<bigint>)")))
 
 
-def bands(hashes: Column, length: int, step: int) -> Column:
-    """The least hash of each window, for one hash function after the other; ``step`` divides every start.
+def bands(hashes: Column) -> Column:
+    """The least hash of each window of a document: for each kind of window, one hash function after the other.
 
-    Windows at the end are shorter. A window of one shingle has one band: its hash.
+    Windows at the end are shorter. A window of one shingle has one band, its hash; windows of sixteen are put together
+    from those of four.
     """
-    if length == 1:
-        return hashes
-    starts = lambda h: F.sequence(F.lit(0), F.size(h) - 1, F.lit(step))
-    return F.concat(*(let(_permuted(hashes, s), lambda h: F.transform(starts(h), lambda i: F.array_min(F.slice(h, i + 1, F.lit(length))))) for s in SEEDS))
+
+    def least(values: Column, step: int, apart: int) -> Column:
+        places = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, F.lit(step))).otherwise(F.expr("cast(array() AS array<int>)"))
+        return F.transform(places, lambda i: F.least(*(F.get(values, i + k * apart) for k in range(4))))
+
+    fours = F.transform(F.array(*(_permuted(hashes, seed) for seed in SEEDS)), lambda h: least(h, 2, 1))
+    return let(fours, lambda w: F.concat(hashes, F.flatten(w), F.flatten(F.transform(w, lambda v: least(v, 2, 2)))))
 
 
 def _permuted(hashes: Column, seed: int) -> Column:
@@ -105,9 +109,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     keys = template_keys(docs.sparkSession, TEMPLATES if templates is None else templates)
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    hashed = texts(docs, id_col, text_col).select("doc_id", shingles(F.col("text")).alias("hashes")).where(F.size("hashes") > 0)
-    per_kind = [bands(F.col("hashes"), length, step) for length, step in WINDOWS]
-    windows = hashed.select("doc_id", "hashes", F.posexplode(F.concat(*per_kind)).alias("place", "key"))
+    hashed = texts(docs, id_col, text_col).select("doc_id", shingles(F.col("text")).alias("hashes"))
+    windows = hashed.select("doc_id", "hashes", F.posexplode(bands(F.col("hashes"))).alias("place", "key"))
     hits = windows.join(keys, "key")
     n, m = F.size("hashes"), F.size("wanted")
     start, before = F.lit(None).cast("int"), F.lit(0)
