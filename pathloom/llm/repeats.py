@@ -25,22 +25,32 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import batches, cut, small_batches, texts, utf8
 
-BUFFER = 1 << 20
+#: Places are kept in the low bits of the keys; a buffer of 2^17 bytes keeps its arrays in a core's cache.
+PLACES, BUFFER = 1 << 20, 1 << 17
 BASE = 32
 MULTIPLIERS = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]], np.uint64)
-LETTERS = np.random.default_rng(20240229).integers(0, 2**64, (2, 256), np.uint64)
+FIRST = np.random.default_rng(20240229).integers(0, 2**64, 2, np.uint64)
 
 
 def join_ids(left: np.ndarray, right: np.ndarray, family: int) -> np.ndarray:
     """The identifier of two strings, one after the other, from theirs."""
     a, b = MULTIPLIERS[family]
-    mixed = (left ^ (left >> np.uint64(29))) * a + (right ^ (right >> np.uint64(32))) * b
-    return mixed ^ (mixed >> np.uint64(31))
+    mixed, other = left >> np.uint64(29), right >> np.uint64(32)
+    mixed ^= left
+    mixed *= a
+    other ^= right
+    other *= b
+    mixed += other
+    np.right_shift(mixed, np.uint64(31), out=other)
+    mixed ^= other
+    return mixed
 
 
 def base_ids(data: np.ndarray, family: int) -> np.ndarray:
     """Identifiers of the BASE bytes from each place on."""
-    ids, size = LETTERS[family][data], 1
+    eights = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    ids, size = (eights ^ FIRST[family]) * MULTIPLIERS[family, 0], 8
+    ids ^= ids >> np.uint64(32)
     while size < BASE:
         ids, size = join_ids(ids[:-size], ids[size:], family), 2 * size
     return ids
@@ -84,38 +94,57 @@ def buffers(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         yield np.concatenate(parts), np.array(held, np.int64)
 
 
-def anchors(data: np.ndarray, held: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, held: np.ndarray, length: int, gram: int, identify: bool = True) -> dict[str, np.ndarray]:
     """Each anchor of a buffer: row, low (offset of its first string in the row), span (how many strings), bucket and two identifiers of its stretch."""
-    bases = [base_ids(data, family) for family in (0, 1)]
-    grams = ids_at(bases[0], np.arange(len(data) - gram + 1), gram, 0)
-    keys = grams & ~np.uint64(BUFFER - 1) | np.arange(len(grams), dtype=np.uint64)
-    least = (sliding_minimum(keys, length - gram + 1) & np.uint64(BUFFER - 1)).astype(np.int64)
-    edges = np.zeros(len(least) + 1, np.int64)
-    edges[held[:, 1]] += 1
-    np.add.at(edges, np.minimum(held[:, 1] + held[:, 3], len(least)), -1)
-    starts = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+    bases = [base_ids(data, family) for family in ((0, 1) if identify else (0,))]
+    grams = join_ids(bases[0][: len(data) - gram + 1], bases[0][gram - BASE :], 0)
+    keys = grams & ~np.uint64(PLACES - 1) | np.arange(len(grams), dtype=np.uint64)
+    least = (sliding_minimum(keys, length - gram + 1) & np.uint64(PLACES - 1)).astype(np.int64)
+    starts = np.concatenate([np.arange(at, at + n) for at, n in zip(held[:, 1].tolist(), held[:, 3].tolist(), strict=True)])
     at = least[starts]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     low, high, place = starts[first], starts[np.append(first[1:], len(starts)) - 1], at[first]
     owner = np.searchsorted(held[:, 1], low, "right") - 1
+    if not identify:
+        return {"row": held[owner, 0], "bucket": grams[place].view(np.int64)}
     span = high - low + 1
     ids = [join_ids(ids_at(b, low, length, f), ids_at(b, high, length, f) + span.astype(np.uint64), f) for f, b in enumerate(bases)]
     return {"row": held[owner, 0], "low": low - held[owner, 1] + held[owner, 2], "span": span, "bucket": grams[place].view(np.int64), "id1": ids[0].view(np.int64), "id2": ids[1].view(np.int64)}
 
 
+def _twice(seen: dict[bytes, int], data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Each text's key, and whether it is one of the first two of its key here: a third copy adds nothing to what two settle."""
+    keys = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    wanted = np.zeros(len(keys), bool)
+    for i, key in enumerate(keys):
+        if seen.get(key, 0) < 2:
+            if len(seen) >= 200_000:
+                seen.clear()
+            seen[key] = seen.get(key, 0) + 1
+            wanted[i] = True
+    return keys, wanted
+
+
+def _buckets(length: int, gram: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in batches(parts):
+            data, offsets = utf8(batch.column("text"))
+            wanted = _twice(seen, data, offsets)[1]
+            for buffer, held in buffers(data, offsets, length):
+                held = held[wanted[held[:, 0]]]
+                if len(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors(buffer, held, length, gram, identify=False)["bucket"])], names=["bucket"])
+
+    return run
+
+
 def _stretches(length: int, gram: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches(parts):
             data, offsets = utf8(batch.column("text"))
-            keys = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            wanted = np.zeros(len(keys), bool)
-            for i, key in enumerate(keys):  # a third copy of a text adds nothing to what two of them settle
-                if seen.get(key, 0) < 2:
-                    if len(seen) >= 200_000:
-                        seen.clear()
-                    seen[key] = seen.get(key, 0) + 1
-                    wanted[i] = True
+            keys, wanted = _twice(seen, data, offsets)
             for buffer, held in buffers(data, offsets, length):
                 held = held[wanted[held[:, 0]]]
                 if not len(held):
@@ -165,7 +194,8 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 20_0
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
-    shared = rows.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
+    buckets = docs.select("text").mapInArrow(_buckets(length, gram), "bucket long")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = rows.join(shared, "bucket", "left_semi").groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows"))
     members = cut(members)
     stretches = members.groupBy("bucket", "id1", "id2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "span", F.col("lows")[0].alias("low"))).alias("one"))
