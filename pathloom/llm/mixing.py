@@ -76,10 +76,12 @@ def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
     open_ = sources.where(F.col("rest") > 0).select("key", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     shift = BITS
     while True:
-        inside = rows.where(F.col("size") > 0).withColumn("prefix", F.shiftright("draw", shift)).join(open_, ["key", "prefix"])
+        inside = rows.where(F.col("size") > 0).withColumn("prefix", F.shiftright("draw", shift))
+        if shift < BITS:  # at first every row is inside
+            inside = inside.join(open_, ["key", "prefix"], "left_semi")
         shift -= STEP
-        histogram = inside.groupBy("key", F.shiftright("draw", shift).alias("bucket")).agg(
-            F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("below").alias("below"), F.min("draw").alias("least"), F.max("draw").alias("greatest"))
+        histogram = inside.groupBy("key", F.shiftright("draw", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("draw").alias("least"), F.max("draw").alias("greatest"))
+        histogram = histogram.join(open_.drop("prefix"), "key")
         so_far = Window.partitionBy("key").orderBy("bucket")
         summed = histogram.withColumn("upto", F.col("below") + F.sum("size").over(so_far)).where(F.col("upto") > F.col("rest"))
         edge = summed.groupBy("key").agg(F.min_by(F.struct("bucket", "rest", "size", "upto", "least", "greatest"), "bucket").alias("e")).select("key", "e.*")
