@@ -48,6 +48,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return filled.withColumn("level", level).select("key", "source", "source_size", F.least(F.col("weight") * final, F.col("limit")).alias("target"))
 
 
+def source_key(source: Column) -> Column:
+    """A source as a string that is never null; null is unlike any other."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("key"), F.col(source_col).cast("string").alias("source"),
+                       draw(F.col(id_col), F.col(text_col)).alias("draw"), size_of(F.col(text_col)).alias("size"))
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """For each source: key, source_size, target, whole (how often all of it is taken), edge and edge_taken."""
+    sources = targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")))
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(2))).otherwise(F.lit(0)).cast("int")
+    sources = cut(sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    known = sources.drop("source", "rest").join(_thresholds(rows, sources), "key", "left")
+    return F.broadcast(known) if sources.count() <= BROADCAST_SOURCES else known
+
+
+def copies(draw_: Column) -> Column:
+    """How often a row is taken, beside its source's threshold."""
+    more = F.coalesce((draw_ < F.col("edge")) | ((draw_ == F.col("edge")) & F.col("edge_taken")), F.lit(False))
+    return F.col("whole") + more.cast("int")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, key (its source's), draw, size, source_size, target, copies (0, 1 or 2) and taken, for every row.
 
@@ -55,20 +80,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at the threshold is taken if that comes nearer to the target. A null text has size 0, a null source is a
     source. Rows equal in id and text share a hash and are taken alike. An empty table gives no rows.
     """
-    source = F.col(source_col).cast("string")
-    rows = cut(docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"), source.alias("source"),
-        draw(F.col(id_col), F.col(text_col)).alias("draw"), size_of(F.col(text_col)).alias("size")))
-    sources = targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")))
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(2))).otherwise(F.lit(0)).cast("int")
-    sources = cut(sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    edges = _thresholds(rows, sources)
-    known = sources.drop("source").join(edges, "key", "left")
-    if sources.count() <= BROADCAST_SOURCES:
-        known = F.broadcast(known)
-    more = F.coalesce((F.col("draw") < F.col("edge")) | ((F.col("draw") == F.col("edge")) & F.col("edge_taken")), F.lit(False))
-    copies = F.col("whole") + more.cast("int")
-    return rows.join(known, "key").select("doc_id", "key", "draw", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    rows = cut(drawn(docs, id_col, text_col, source_col))
+    mixed = rows.join(thresholds(rows), "key").withColumn("copies", copies(F.col("draw")))
+    return mixed.select("doc_id", "key", "draw", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs, with all their columns, as often as they are taken."""
+    known = thresholds(cut(drawn(docs, id_col, text_col, source_col))).select(F.col("key").alias("__key"), "whole", "edge", "edge_taken")
+    keyed = docs.select(F.struct("*").alias("__row"), source_key(F.col(source_col)).alias("__key"), draw(F.col(id_col), F.col(text_col)).alias("__draw"))
+    return keyed.join(known, "__key").select("__row", F.explode(F.array_repeat(F.lit(0), copies(F.col("__draw"))))).select("__row.*")
 
 
 def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -274,3 +274,11 @@ def digest(shingle_set: np.ndarray) -> bytes:
     return np.array([sums[0] + np.uint64(len(shingle_set)), sums[1]], np.uint64).tobytes()
 
 
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs, with all their columns, that are the least id of their class; rows that repeat an id are one document."""
+    classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **settings)
+    leaders = cut(classes.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__id"), "n"))
+    kept = docs.join(leaders.select("__id"), docs[id_col] == F.col("__id"), "left_semi")
+    return kept.dropDuplicates([id_col]) if leaders.where("n > 1").head(1) else kept

@@ -157,3 +157,14 @@ def redact(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(pieces, ""), F.substring(text, F.get(runs, F.size(runs) - 1)["end"] + 1, F.length(text)))
 
     return F.when(F.size(spans) > 0, let(joined, rebuilt)).otherwise(text)
+
+
+def without_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, their private spans replaced by their kind.
+
+    Only texts with spans change; the others, null included, stay as they are.
+    """
+    found = find_private(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = docs.withColumn("__hash", F.xxhash64(text)).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
+    return joined.select(*(F.when(F.col("__spans").isNotNull(), redact(F.col(c), F.col("__spans"))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))

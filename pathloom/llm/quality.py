@@ -144,3 +144,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     scored = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text reaches the threshold."""
+    small_batches(docs.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = compressors(model)
+        for batch in batches(parts):
+            x = np.array([difference((t.as_py() or "").encode(), pair, model.chunk) for t in batch.column(text_col)])
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
