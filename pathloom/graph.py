@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.functions.expr import Expr
 from pathloom.operators import search as searching
 from pathloom.operators import topology
 from pathloom.operators.kernels import Kernel, named_kernel
@@ -21,11 +20,6 @@ from pathloom.sources import tables
 NODE_PARAMS = ("target", "source", "start", "node")
 
 
-def expression(value: Any) -> Any:
-    """Strings are serialised expressions."""
-    return Expr.from_json(value) if isinstance(value, str) else value
-
-
 class Graph:
     """nodes: ``id`` and any payload. edges: ``id``, ``src``, ``dest`` and any payload.
 
@@ -117,11 +111,11 @@ class Graph:
     # Search
 
     def search(
-        self, *, start_nodes: Iterable[Hashable], visit: Any = None, next_state: Mapping[str, Any] | None = None, stop: Any = None, initial_state: Mapping[str, Any] | None = None,
+        self, *, start_nodes: Iterable[Hashable] | DataFrame, visit: Any = None, next_state: Mapping[str, Any] | None = None, stop: Any = None, initial_state: Mapping[str, Any] | None = None,
         kernel: str | None = None, params: Mapping[str, Any] | None = None, columns: Iterable[str] | None = None, max_depth: int | None = None, max_paths: int | None = None,
         strategy: str = "dfs", parallel: bool | str = True, intermediate_states: bool = False, progress: bool = False, max_revisits_per_node: int = 0, max_frontier: int = 50_000_000,
     ) -> SearchResult:
-        """Paths from the start nodes over accepted edges to where they stop.
+        """Paths from the start nodes (labels or ids, or a frame with a column ``id``) over accepted edges to where they stop.
 
         Either expressions (visit, next_state, stop, initial_state) or a named kernel with params. Without stop, max_paths must
         be given and every accepted edge ends a path. Paths and counters are the same at every run; ``parallel`` only says
@@ -137,12 +131,14 @@ class Graph:
         else:
             if stop is None and max_paths is None:
                 raise TypeError("search needs stop or max_paths")
-            states = {k: expression(v) for k, v in (next_state or {}).items()}
-            made = Kernel(expression(visit), states, True if stop is None else expression(stop), initial_state)
-        return self.traverse(Traversal(made, [*start_nodes], max_depth, max_paths, strategy, parallel, intermediate_states, progress, max_revisits_per_node, max_frontier))
+            made = Kernel(visit, next_state, True if stop is None else stop, initial_state)
+        starts = start_nodes if isinstance(start_nodes, DataFrame) else [*start_nodes]
+        return self.traverse(Traversal(made, starts, max_depth, max_paths, strategy, parallel, intermediate_states, progress, max_revisits_per_node, max_frontier))
 
     def traverse(self, traversal: Traversal) -> SearchResult:
-        starts = [self.node_id(s) for s in traversal.start_nodes]
+        starts = traversal.start_nodes
+        if not isinstance(starts, DataFrame):
+            starts = [self.node_id(s) for s in starts]
         found = searching.run(self.nodes, self.edges, Traversal(**{**vars(traversal), "start_nodes": starts}))
         if self._reversed:
             found.df = original_edges(found.df, self.edges)

@@ -8,14 +8,19 @@ from typing import Any
 from pathloom.functions.expr import Expr, col, lit, when
 
 
+def expression(value: Any) -> Expr:
+    """A string is a serialised expression; other plain values are literals."""
+    return Expr.from_json(value) if isinstance(value, str) else lit(value)
+
+
 class Kernel:
     """visit: which candidate edges to follow (default all). next_state: fields of the new state, all from the old one.
     stop: whether the path ends here, on the new state (default never). initial_state: plain values."""
 
     def __init__(self, visit: Any = None, next_state: Mapping[str, Any] | None = None, stop: Any = None, initial_state: Mapping[str, Any] | None = None) -> None:
-        self.visit: Expr = lit(True) if visit is None else lit(visit)
-        self.next_state: dict[str, Expr] = {k: lit(v) for k, v in (next_state or {}).items()}
-        self.stop: Expr = lit(False) if stop is None else lit(stop)
+        self.visit: Expr = expression(True if visit is None else visit)
+        self.next_state: dict[str, Expr] = {k: expression(v) for k, v in (next_state or {}).items()}
+        self.stop: Expr = expression(False if stop is None else stop)
         self.initial_state: dict[str, Any] = dict(initial_state or {})
 
     def expressions(self) -> list[Expr]:

@@ -33,7 +33,7 @@ class Traversal:
     """A search's settings, for use more than once."""
 
     kernel: Kernel
-    start_nodes: list[Any]
+    start_nodes: list[Any] | DataFrame
     max_depth: int | None = None
     max_paths: int | None = None
     strategy: str = "dfs"
@@ -117,20 +117,19 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     kind = state_type(kernel, scopes)
     columns = compiled(kernel, with_state(scopes, {f.name: f.dataType for f in kind}), kind)
 
-    starts = spark.createDataFrame([(i, s) for i, s in enumerate(traversal.start_nodes)], T.StructType([T.StructField("start", T.LongType()), T.StructField("_id", nodes.schema["id"].dataType)]))
+    starts = start_rows(nodes, traversal.start_nodes)
     initial = F.struct(*(start_value(kernel.initial_state.get(f.name), f.dataType).alias(f.name) for f in kind)) if len(kind) else F.struct(F.lit(None).alias("_"))
     frontier = starts.join(ends, "_id").select(
         "start", F.array("_id").alias("nodes"), F.array().cast("array<bigint>").alias("key"), F.array().cast(T.ArrayType(edges.schema["id"].dataType)).alias("edges"),
         F.col("dest").alias("src"), initial.alias("state"), *([F.array(initial).alias("states")] if traversal.intermediate_states else []))
     frontier = cut(frontier)
-    if frontier.count() != len(traversal.start_nodes):
-        there = {r["_id"] for r in starts.join(ends, "_id").select("_id").distinct().collect()}
-        raise RuntimeError(f"unknown start node {next(s for s in traversal.start_nodes if s not in there)!r}")
-
-    stats = SearchStats(start_nodes=len(traversal.start_nodes), path_entries=len(traversal.start_nodes))
+    unknown = starts.join(ends, "_id", "left_anti").orderBy("start").head(1)
+    if unknown:
+        raise RuntimeError(f"unknown start node {unknown[0]['_id']!r}")
+    waiting = frontier.count()
+    stats = SearchStats(start_nodes=waiting, path_entries=waiting)
     shape, depth, found, levels = frontier.schema, 0, [], []
     deepest = float("inf") if traversal.max_depth is None else traversal.max_depth
-    waiting = len(traversal.start_nodes)
     while waiting and depth < deepest and traversal.max_paths != 0:
         depth += 1
         if waiting > traversal.max_frontier:
@@ -161,6 +160,14 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     return Found(ranked, stats, kind)
 
 
+def start_rows(nodes: DataFrame, starts: list[Any] | DataFrame) -> DataFrame:
+    """start (a number that orders the starts) and _id. A frame's starts are in the order of the node table."""
+    if isinstance(starts, DataFrame):
+        return starts.select(F.col("id").cast(nodes.schema["id"].dataType).alias("_id")).join(nodes.select(F.col("id").alias("_id"), F.col("_pos").alias("start")), "_id", "left").select("start", "_id")
+    kind = T.StructType([T.StructField("start", T.LongType()), T.StructField("_id", nodes.schema["id"].dataType)])
+    return nodes.sparkSession.createDataFrame([*enumerate(starts)], kind)
+
+
 def start_value(value: Any, kind: T.DataType) -> Column:
     return F.lit(None).cast(kind) if value is None else fitted(literal(value), type_of(value), kind)
 
