@@ -261,7 +261,7 @@ def one_step(nodes: DataFrame, states: dict) -> DataFrame:
 
 
 @query("""SELECT vec_id AS id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last, array_to_string(list_transform(v[2:3], lambda x: CAST(x AS VARCHAR)), ',') AS slice,
-        array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, list_position(v, list_max(v)) - 1 AS arg_high,
+        array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS arg_high,
         CAST(len(list_distinct(v)) AS BIGINT) AS n_unique, list_contains(v, v[4]) AS held, array_to_string(list_transform(list_filter(v, lambda x: x > 40), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS big,
         CAST(list_sum(v) AS BIGINT) AS total, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean, list_median(v) AS middle, array_to_string(list_transform(list_slice(v, 3, 9, 3), lambda x: CAST(x AS VARCHAR)), ',') AS thirds
     FROM (SELECT vec_id, list_transform(embedding[1:9], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings)""")
