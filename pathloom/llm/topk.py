@@ -97,7 +97,10 @@ def _search(rows: DataFrame, asked: pa.Table, k: int, scale: float, bins: int, l
     ids = np.asarray(asked.column("vec_id").combine_chunks())
     vectors = quantize(asked.column("vector").combine_chunks(), scale)
     sizes = np.array([len(v) for v in vectors])
-    queries = {int(d): (np.flatnonzero(sizes == d), np.array([vectors[i] for i in np.flatnonzero(sizes == d)]).reshape(-1, d)) for d in np.unique(sizes)}
+    queries = {}
+    for dimension in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dimension)
+        queries[dimension] = at, np.array([vectors[i] for i in at]).reshape(len(at), dimension)
     bound = np.array([int(np.ceil(np.sqrt((v**2).sum()) * longest)) + 1 for v in vectors], dtype=np.int64)
     low, high, width, wanted = -bound, bound + 1, -(-(2 * bound + 1) // bins), np.full(len(ids), k)
     least = low.copy()  # every row at or above it is wanted
