@@ -285,7 +285,7 @@ def struct_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "same": named == lit({"key": 0, "status": "F"}).struct.with_fields(named.struct.field("key").alias("key")), "missing": named.struct.field("none").is_null()})
 
 
-@query("""SELECT o_orderkey AS id, coalesce(p <> 5, true) AS unequal, NOT coalesce(p > 2, false) AS turned, p / 0.0 AS divided, o_orderkey % 7 - 3 AS rest, CASE WHEN o_orderkey & 6 = 0 THEN 0 ELSE 9 END AS masked, xor(o_orderkey, 5) AS flipped,
+@query("""SELECT o_orderkey AS id, coalesce(p <> 5, true) AS unequal, NOT coalesce(p > 2, false) AS turned, p / 0.0 AS divided, o_orderkey % 7 - 3 AS rest, CAST(CASE WHEN o_orderkey & 6 = 0 THEN 0 ELSE 9 END AS BIGINT) AS masked, xor(o_orderkey, 5) AS flipped,
         CASE WHEN p IS NULL THEN 'none' WHEN p > 3 THEN 'high' ELSE 'low' END AS level, contains(o_orderpriority, '-U') AS urgent, starts_with(o_orderpriority, '5') AS last, p IS NULL AS absent
     FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 5 + 1 AS BIGINT) END AS p FROM orders)""")
 def scalar_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
