@@ -1,8 +1,7 @@
-"""What the operators share: reading tables, cutting lineage, Arrow batches."""
+"""What the operators share: reading tables, Arrow batches, and the cutting of lineage."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.plans.lineage import cut
+
+__all__ = ["batches", "cut", "small_batches", "table", "texts", "utf8"]
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -17,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of so many rows at most, so that a batch of long texts stays in a worker's memory."""
     if int(spark.conf.get(ARROW_ROWS, "10000")) > rows or int(spark.conf.get(ARROW_ROWS, "10000")) <= 0:
