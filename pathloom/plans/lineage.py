@@ -1,10 +1,11 @@
-"""Cutting lineage between the rounds of an iterative plan."""
+"""What iterative plans need of Spark: cut lineage, and joins whose skew can be split."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
     return df.checkpoint()
+
+
+def unbound(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with integer keys that are expressions no exchange below is known to be partitioned by.
+
+    A join of an aggregate to the rows that it was made of would otherwise take over the aggregate's exchange; given one of its
+    own on both sides, adaptive execution can split a key that holds many rows.
+    """
+    return df.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
