@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import batches, cut, small_batches, texts, utf8
+from pathloom.plans.lineage import unbound
 
 #: Places are kept in the low bits of the keys; a buffer of 2^17 bytes keeps its arrays in a core's cache.
 PLACES, BUFFER = 1 << 20, 1 << 17
@@ -199,7 +200,7 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 20_0
     members = rows.join(shared, "bucket", "left_semi").groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows"))
     members = cut(members)
     stretches = members.groupBy("bucket", "id1", "id2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "span", F.col("lows")[0].alias("low"))).alias("one"))
-    settled = members.select("bucket", "id1", "id2", "key", "span", "lows").join(stretches.where("n > 1").select("bucket", "id1", "id2"), ["bucket", "id1", "id2"], "left_semi")
+    settled = members.select("bucket", "id1", "id2", "key", "span", "lows").join(unbound(stretches.where("n > 1").select("bucket", "id1", "id2"), "bucket", "id1", "id2"), ["bucket", "id1", "id2"], "left_semi")
     found = settled.select("key", F.explode("lows").alias("low"), "span")
 
     sizes = stretches.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
