@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import batches, cut, small_batches, texts, utf8
+from pathloom.plans.lineage import unbound
 
 GEAR = np.random.default_rng(20240301).integers(0, 2**32, 256, np.uint32)
 CHUNKS = "digest1 long, digest2 long, key long, doc_id {id}, start int, size int"
@@ -73,7 +74,7 @@ def repeated_chunks(docs: DataFrame, bits: int, least: int) -> DataFrame:
     often = cut_up.groupBy("digest1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest1")
     shared = cut(cut_up.join(often, "digest1", "left_semi"))
     first = shared.groupBy("digest1", "digest2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("first")).where("n > 1").select("digest1", "digest2", "first")
-    later = shared.join(first, ["digest1", "digest2"]).where(F.struct("doc_id", "key", "start") != F.col("first"))
+    later = shared.join(unbound(first, "digest1", "digest2"), ["digest1", "digest2"]).where(F.struct("doc_id", "key", "start") != F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("chunks"))
 
 
