@@ -10,6 +10,8 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+from pyspark.sql import Column
+
 
 class Expr:
     """A node: the operator's name, its operands and its settings."""
@@ -307,7 +309,10 @@ def col(name: str) -> Expr:
 
 
 def lit(value: Any) -> Expr:
-    return value if isinstance(value, Expr) else Expr("lit", value=value)
+    """A literal. A Spark column (also one of a pandas UDF) over the structs src, dest, edge and state stays itself, with Spark's own null rules."""
+    if isinstance(value, Expr):
+        return value
+    return Expr("spark", column=value) if isinstance(value, Column) else Expr("lit", value=value)
 
 
 wrap = lit
@@ -333,6 +338,8 @@ def columns_of(expr: Expr) -> set[tuple[str, str]]:
 
 
 def _plain(expr: Expr) -> dict[str, Any]:
+    if expr.op == "spark":
+        raise TypeError("a Spark column has no serialised form")
     return {"op": expr.op} | ({"args": [_plain(a) for a in expr.args]} if expr.args else {}) | expr.options
 
 

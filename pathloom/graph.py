@@ -119,7 +119,9 @@ class Graph:
 
         Either expressions (visit, next_state, stop, initial_state) or a named kernel with params. Without stop, max_paths must
         be given and every accepted edge ends a path. Paths and counters are the same at every run; ``parallel`` only says
-        whether a breadth-first run that max_paths cuts short counts whole levels.
+        whether a breadth-first run that max_paths cuts short counts whole levels. initial_state holds plain values, or expressions
+        over the start node as src. ``columns`` are payload columns to read beside those that the expressions name; Spark
+        columns in place of expressions need them.
         """
         if kernel is not None:
             if any(x is not None for x in (visit, next_state, stop, initial_state)):
@@ -133,7 +135,7 @@ class Graph:
                 raise TypeError("search needs stop or max_paths")
             made = Kernel(visit, next_state, True if stop is None else stop, initial_state)
         starts = start_nodes if isinstance(start_nodes, DataFrame) else [*start_nodes]
-        return self.traverse(Traversal(made, starts, max_depth, max_paths, strategy, parallel, intermediate_states, progress, max_revisits_per_node, max_frontier))
+        return self.traverse(Traversal(made, starts, max_depth, max_paths, strategy, parallel, intermediate_states, progress, max_revisits_per_node, max_frontier, tuple(columns or ())))
 
     def traverse(self, traversal: Traversal) -> SearchResult:
         starts = traversal.start_nodes

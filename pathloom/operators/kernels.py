@@ -15,7 +15,8 @@ def expression(value: Any) -> Expr:
 
 class Kernel:
     """visit: which candidate edges to follow (default all). next_state: fields of the new state, all from the old one.
-    stop: whether the path ends here, on the new state (default never). initial_state: plain values."""
+    stop: whether the path ends here, on the new state (default never). initial_state: plain values, or expressions over the
+    start node as src."""
 
     def __init__(self, visit: Any = None, next_state: Mapping[str, Any] | None = None, stop: Any = None, initial_state: Mapping[str, Any] | None = None) -> None:
         self.visit: Expr = expression(True if visit is None else visit)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.functions.expr import columns_of
+from pathloom.functions.expr import Expr, columns_of
 from pathloom.operators.kernels import Kernel
 from pathloom.plans.compiler import Compiler, fitted, literal, merged
 from pathloom.plans.lineage import cut
@@ -42,6 +42,7 @@ class Traversal:
     progress: bool = False
     max_revisits_per_node: int = 0
     max_frontier: int = 50_000_000
+    columns: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.strategy not in ("dfs", "bfs"):
@@ -81,7 +82,8 @@ def payload(table: DataFrame, names: Iterable[str], what: str, *extra: Column) -
 def state_type(kernel: Kernel, frame: DataFrame) -> T.StructType:
     """The fields of initial and next state, sorted, each of a type that holds all of its values."""
     names = sorted({*kernel.initial_state, *kernel.next_state})
-    kinds: dict[str, T.DataType] = {n: type_of(kernel.initial_state.get(n)) for n in names}
+    begin = Compiler(with_state(frame, {}))
+    kinds: dict[str, T.DataType] = {n: begin.compile(v).type if isinstance(v := kernel.initial_state.get(n), Expr) else type_of(v) for n in names}
     for _ in range(STEPS):
         compiler = Compiler(with_state(frame, kinds))
         new = {n: merged(t, compiler.compile(kernel.next_state[n]).type if n in kernel.next_state else T.NullType()) for n, t in kinds.items()}
@@ -108,9 +110,11 @@ class Found:
 def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     """paths: path (from 0, in search order), start, nodes, edges, state and, if asked for, states."""
     kernel, spark = traversal.kernel, nodes.sparkSession
-    named = set().union(*(columns_of(e) for e in kernel.expressions()))
-    node_columns = payload(nodes, (f for s, f in named if s in ("src", "dest")), "node")
-    edge_columns = payload(edges, (f for s, f in named if s == "edge" and f not in ("src", "dest")), "edge")
+    starting = [v for v in kernel.initial_state.values() if isinstance(v, Expr)]
+    named = set().union(*(columns_of(e) for e in (*kernel.expressions(), *starting)))
+    more = {what: [c for c in traversal.columns if c in table.columns] for what, table in (("node", nodes), ("edge", edges))}
+    node_columns = payload(nodes, (*more["node"], *(f for s, f in named if s in ("src", "dest"))), "node")
+    edge_columns = payload(edges, (*more["edge"], *(f for s, f in named if s == "edge" and f not in ("src", "dest"))), "edge")
     steps = edges.select(F.col("src").alias("_src"), F.col("dest").alias("_dest"), F.col("_pos").alias("_epos"), edge_columns.alias("edge"))
     ends = nodes.select(F.col("id").alias("_id"), node_columns.alias("dest"))
     scopes = ends.select(F.col("dest").alias("src"), "dest").limit(0).crossJoin(steps.select("edge").limit(0))  # schema only: no rows on either side
@@ -118,10 +122,11 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     columns = compiled(kernel, with_state(scopes, {f.name: f.dataType for f in kind}), kind)
 
     starts = start_rows(nodes, traversal.start_nodes)
-    initial = F.struct(*(start_value(kernel.initial_state.get(f.name), f.dataType).alias(f.name) for f in kind)) if len(kind) else F.struct(F.lit(None).alias("_"))
-    frontier = starts.join(ends, "_id").select(
+    begin = Compiler(scopes.withColumn("state", F.struct(F.lit(None).alias("_"))))
+    initial = F.struct(*(start_value(kernel.initial_state.get(f.name), f.dataType, begin).alias(f.name) for f in kind)) if len(kind) else F.struct(F.lit(None).alias("_"))
+    frontier = starts.join(ends, "_id").withColumn("src", F.col("dest")).select(
         "start", F.array("_id").alias("nodes"), F.array().cast("array<bigint>").alias("key"), F.array().cast(T.ArrayType(edges.schema["id"].dataType)).alias("edges"),
-        F.col("dest").alias("src"), initial.alias("state"), *([F.array(initial).alias("states")] if traversal.intermediate_states else []))
+        "src", initial.alias("state"), *([F.array(initial).alias("states")] if traversal.intermediate_states else []))
     frontier = cut(frontier)
     unknown = starts.join(ends, "_id", "left_anti").orderBy("start").head(1)
     if unknown:
@@ -168,7 +173,11 @@ def start_rows(nodes: DataFrame, starts: list[Any] | DataFrame) -> DataFrame:
     return nodes.sparkSession.createDataFrame([*enumerate(starts)], kind)
 
 
-def start_value(value: Any, kind: T.DataType) -> Column:
+def start_value(value: Any, kind: T.DataType, compiler: Compiler) -> Column:
+    """A plain value, or an expression over the start node (as src)."""
+    if isinstance(value, Expr):
+        made = compiler.compile(value)
+        return fitted(made.column, made.type, kind)
     return F.lit(None).cast(kind) if value is None else fitted(literal(value), type_of(value), kind)
 
 

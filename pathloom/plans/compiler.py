@@ -143,6 +143,9 @@ class Compiler:
     def _lit(self, expr: Expr) -> Value:
         return Value(self, literal(expr.options["value"]))
 
+    def _spark(self, expr: Expr) -> Value:
+        return Value(self, expr.options["column"])
+
     def _alias(self, expr: Expr) -> Value:
         return self.compile(expr.args[0])
 
