@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import batches, cut, small_batches, texts, utf8
 from pathloom.operators.components import components
+from pathloom.plans.lineage import unbound
 
 PIECE = 1 << 21
 _NUMBERS = np.random.default_rng(20240311)
@@ -98,6 +99,7 @@ def _signatures(n: int, trees: int, depth: int):
             sets = list(shingle_sets(batch.column("text"), n))
             full = [i for i, s in enumerate(sets) if len(s)]
             digests: list[bytes | None] = [None] * len(sets)
+            counts = pa.array([len(s) for s in sets], pa.int64())
             nodes: list[np.ndarray | None] = [None] * len(sets)
             signatures: list[bytes | None] = [None] * len(sets)
             if full:
@@ -112,7 +114,7 @@ def _signatures(n: int, trees: int, depth: int):
                 short = labels.reshape(len(full), -1).astype("<u2")
                 for k, i in enumerate(full):
                     digests[i], nodes[i], signatures[i] = pair[k].tobytes(), node[k], short[k].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["doc_id", "digest", "nodes", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(signatures, pa.binary()), counts], names=["doc_id", "digest", "nodes", "signature", "shingles"])
 
     return run
 
@@ -234,8 +236,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     docs = texts(docs, id_col, text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     depth = prefix_depth(threshold, recall, trees)
-    signed = cut(docs.mapInArrow(_signatures(n, trees, depth), "doc_id long, digest binary, nodes array<long>, signature binary"))
-    sets = cut(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"), F.first("signature").alias("signature")))
+    signed = cut(docs.mapInArrow(_signatures(n, trees, depth), "doc_id long, digest binary, nodes array<long>, signature binary, shingles long"))
+    sets = cut(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles")))
 
     nodes = sets.select("id", F.explode("nodes").alias("node"))
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -243,8 +245,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     proposed = dealt(members, ["node"], F.col("members"), "id", block).mapInArrow(_propose(trees, depth, int((threshold - slack) * trees * depth)), "a long, b long")
     candidates = cut(components(proposed))
 
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    wanted = candidates.join(sizes, "root").join(sets.select("id", "digest", "copies"), "id")
+    # A group of long texts counts as more rows, so that no block holds more than block * 4096 shingles on average.
+    grouped = candidates.join(sets.select("id", "digest", "copies", "shingles"), "id")
+    sizes = grouped.groupBy("root").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("shingles") / 4096)).alias("members"))
+    wanted = grouped.drop("shingles").join(unbound(sizes, "root"), "root")
     verified = cut(dealt(_with_shingles(docs, wanted, n), ["root"], F.col("members"), "id", block).mapInArrow(_verify(threshold), "id long, links long, other long"))
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("id").alias("a"), F.col("other").alias("b")))
