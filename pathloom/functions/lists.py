@@ -28,28 +28,30 @@ def op(name: str) -> Callable[[Op], Op]:
     return add
 
 
-def simple(name: str, of: Callable[[Column], Column]) -> None:
-    OPS[name] = lambda c, v, e: c.value(lambda x: F.when(x.isNotNull(), of(x)), v)
+def simple(name: str, of: Callable[[Column], Column], known: Callable[[T.ArrayType], T.DataType]) -> None:
+    """known: the result's type from the list's."""
+    OPS[name] = lambda c, v, e: c.value(lambda x: F.when(x.isNotNull(), of(x)), v, known=known(v.type))
 
 
 def index_of(best: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.nullif(F.array_position(x, best(x)), F.lit(0)) - 1
+    return lambda x: (F.nullif(F.array_position(x, best(x)), F.lit(0)) - 1).cast("bigint")
 
 
 def doubles(x: Column) -> Column:
     return F.transform(F.array_compact(x), lambda e: e.cast("double"))
 
 
-simple("len", lambda x: F.size(x).cast("bigint"))
-simple("reverse", F.reverse)
-simple("unique", F.array_distinct)
-simple("drop_nulls", F.array_compact)
-simple("min", F.array_min)
-simple("max", F.array_max)
-simple("arg_min", index_of(F.array_min))
-simple("arg_max", index_of(F.array_max))
-simple("n_unique", lambda x: F.size(F.array_distinct(x)).cast("bigint"))
-simple("mean", lambda x: F.when(F.size(F.array_compact(x)) > 0, F.aggregate(doubles(x), F.lit(0.0), lambda s, e: s + e) / F.size(F.array_compact(x))))
+WHOLE, ITSELF, ITEM = (lambda t: T.LongType()), (lambda t: t), (lambda t: t.elementType)
+simple("len", lambda x: F.size(x).cast("bigint"), WHOLE)
+simple("reverse", F.reverse, ITSELF)
+simple("unique", F.array_distinct, ITSELF)
+simple("drop_nulls", F.array_compact, ITSELF)
+simple("min", F.array_min, ITEM)
+simple("max", F.array_max, ITEM)
+simple("arg_min", index_of(F.array_min), WHOLE)
+simple("arg_max", index_of(F.array_max), WHOLE)
+simple("n_unique", lambda x: F.size(F.array_distinct(x)).cast("bigint"), WHOLE)
+simple("mean", lambda x: F.when(F.size(F.array_compact(x)) > 0, F.aggregate(doubles(x), F.lit(0.0), lambda s, e: s + e) / F.size(F.array_compact(x))), lambda t: T.DoubleType())
 
 
 def need(c: Compiler, v: Value, expr: Expr, *kinds: str) -> None:

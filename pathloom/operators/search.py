@@ -128,10 +128,9 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
         "start", F.array("_id").alias("nodes"), F.array().cast("array<bigint>").alias("key"), F.array().cast(T.ArrayType(edges.schema["id"].dataType)).alias("edges"),
         "src", initial.alias("state"), *([F.array(initial).alias("states")] if traversal.intermediate_states else []))
     frontier = cut(frontier)
-    unknown = starts.join(ends, "_id", "left_anti").orderBy("start").head(1)
-    if unknown:
-        raise RuntimeError(f"unknown start node {unknown[0]['_id']!r}")
     waiting = frontier.count()
+    if waiting != (starts.count() if isinstance(traversal.start_nodes, DataFrame) else len(traversal.start_nodes)):
+        raise RuntimeError(f"unknown start node {starts.join(ends, '_id', 'left_anti').orderBy('start').first()['_id']!r}")
     stats = SearchStats(start_nodes=waiting, path_entries=waiting)
     shape, depth, found, levels = frontier.schema, 0, [], []
     deepest = float("inf") if traversal.max_depth is None else traversal.max_depth
@@ -155,13 +154,11 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
         frontier = level.where("_ok AND NOT _stop").select(*shape.fieldNames())
     paths = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape).withColumn("depth", F.lit(0))
     order = order_key(traversal.strategy)
-    paths = paths.orderBy(order)
     if traversal.max_paths is not None:
-        cutoff = stats.stopped_paths > traversal.max_paths
-        paths = paths.limit(traversal.max_paths)
-        if levels and (cutoff or stats.stopped_paths == traversal.max_paths):
+        paths = cut(paths.orderBy(order).limit(traversal.max_paths))
+        if levels and stats.stopped_paths >= traversal.max_paths:
             stats = truncated(levels, paths, order, traversal, stats)
-    ranked = cut(paths.select(order.alias("_key"), "start", "nodes", "edges", "state", *(["states"] if traversal.intermediate_states else [])))
+    ranked = paths.select(order.alias("_key"), "start", "nodes", "edges", "state", *(["states"] if traversal.intermediate_states else []))
     return Found(ranked, stats, kind)
 
 

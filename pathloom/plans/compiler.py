@@ -30,11 +30,20 @@ class ExpressionError(ValueError):
 
 
 class Value:
-    """A compiled expression: its column, and a stand-in for it outside of any lambda, for its type."""
+    """A compiled expression: its column, and a stand-in for it outside of any lambda, for its type.
 
-    def __init__(self, compiler: Compiler, column: Column, shadow: Column | None = None) -> None:
+    The type is asked of Spark's analyser where the operator does not tell it, and only once it is needed.
+    """
+
+    def __init__(self, compiler: Compiler, column: Column, shadow: Column | None = None, known: T.DataType | None = None) -> None:
         self.column, self.shadow = column, column if shadow is None else shadow
-        self.type = compiler.type_of(self.shadow)
+        self.compiler, self.known = compiler, known
+
+    @property
+    def type(self) -> T.DataType:
+        if self.known is None:
+            self.known = self.compiler.type_of(self.shadow)
+        return self.known
 
 
 def kind(t: T.DataType) -> str:
@@ -86,15 +95,11 @@ def literal(value: Any) -> Column:
     raise ExpressionError(f"{type(value).__name__} has no literal")
 
 
-def literal_list(values: list[Any]) -> bool:
-    return isinstance(values, (list, tuple))
-
-
 class Compiler:
     """frame: an (empty) frame with the columns src, dest, edge and state, all structs."""
 
     def __init__(self, frame: DataFrame) -> None:
-        self.frame = frame
+        self.frame, self.scopes = frame, frame.schema
         self.elements: list[Value] = []
 
     def type_of(self, column: Column) -> T.DataType:
@@ -111,9 +116,10 @@ class Compiler:
             raise NotImplementedError(f"unsupported expression: {expr.op}")
         return handler(expr)
 
-    def value(self, of: Callable[..., Column], *args: Value) -> Value:
+    def value(self, of: Callable[..., Column], *args: Value, known: T.DataType | None = None) -> Value:
         """Applies of to the columns, and to their stand-ins."""
-        return Value(self, of(*(a.column for a in args)), of(*(a.shadow for a in args)))
+        column = of(*(a.column for a in args))
+        return Value(self, column, column if all(a.column is a.shadow for a in args) else of(*(a.shadow for a in args)), known)
 
     def operands(self, expr: Expr, *kinds: str) -> list[Value]:
         found = [self.compile(a) for a in expr.args]
@@ -128,20 +134,22 @@ class Compiler:
         scope, field = expr.options["scope"], expr.options["field"]
         if scope == "edge" and field in ("src", "dest"):
             scope, field = field, "id"
-        names = self.frame.schema[scope].dataType.fieldNames()
-        if field not in names:
+        fields = self.scopes[scope].dataType
+        if field not in fields.fieldNames():
             if scope == "state":
-                return Value(self, F.lit(None))
+                return Value(self, F.lit(None), known=T.NullType())
             raise ExpressionError(f'column "{field}" is missing in {scope}')
-        found = Value(self, F.col(scope).getField(field))
+        found = Value(self, F.col(scope).getField(field), known=fields[field].dataType)
         if kind(found.type) == "unsupported":
             raise ExpressionError(f"unsupported column type: {found.type.simpleString()}")
         if isinstance(found.type, (T.ByteType, T.ShortType, T.IntegerType)):
-            return Value(self, found.column.cast("bigint"))
-        return Value(self, found.column.cast("double")) if isinstance(found.type, T.FloatType) else found
+            return Value(self, found.column.cast("bigint"), known=T.LongType())
+        return Value(self, found.column.cast("double"), known=T.DoubleType()) if isinstance(found.type, T.FloatType) else found
 
     def _lit(self, expr: Expr) -> Value:
-        return Value(self, literal(expr.options["value"]))
+        value = expr.options["value"]
+        known = {bool: T.BooleanType(), str: T.StringType(), float: T.DoubleType(), type(None): T.NullType()}.get(type(value))
+        return Value(self, literal(value), known=known)
 
     def _spark(self, expr: Expr) -> Value:
         return Value(self, expr.options["column"])
@@ -159,27 +167,27 @@ class Compiler:
     def truth(self, v: Value, op: str) -> Value:
         if kind(v.type) not in ("bool", "null"):
             raise ExpressionError(f"{op} needs bool, got {v.type.simpleString()}")
-        return self.value(lambda c: F.coalesce(c.cast("boolean"), F.lit(False)), v)
+        return self.value(lambda c: F.coalesce(c.cast("boolean"), F.lit(False)), v, known=T.BooleanType())
 
     def predicate(self, expr: Expr) -> Value:
         return self.truth(self.compile(expr), "a predicate")
 
     def _and(self, expr: Expr) -> Value:
         a, b = (self.truth(v, "and") for v in self.operands(expr))
-        return self.value(lambda x, y: F.when(x, y).otherwise(F.lit(False)) if raises(expr.args[1]) else x & y, a, b)
+        return self.value(lambda x, y: F.when(x, y).otherwise(F.lit(False)) if raises(expr.args[1]) else x & y, a, b, known=T.BooleanType())
 
     def _or(self, expr: Expr) -> Value:
         a, b = (self.truth(v, "or") for v in self.operands(expr))
-        return self.value(lambda x, y: F.when(x, F.lit(True)).otherwise(y) if raises(expr.args[1]) else x | y, a, b)
+        return self.value(lambda x, y: F.when(x, F.lit(True)).otherwise(y) if raises(expr.args[1]) else x | y, a, b, known=T.BooleanType())
 
     def _not(self, expr: Expr) -> Value:
-        return self.value(lambda x: ~x, *(self.truth(v, "not") for v in self.operands(expr)))
+        return self.value(lambda x: ~x, *(self.truth(v, "not") for v in self.operands(expr)), known=T.BooleanType())
 
     def _is_null(self, expr: Expr) -> Value:
-        return self.value(lambda x: x.isNull(), *self.operands(expr))
+        return self.value(lambda x: x.isNull(), *self.operands(expr), known=T.BooleanType())
 
     def _is_not_null(self, expr: Expr) -> Value:
-        return self.value(lambda x: x.isNotNull(), *self.operands(expr))
+        return self.value(lambda x: x.isNotNull(), *self.operands(expr), known=T.BooleanType())
 
     def same(self, a: Value, b: Value) -> Callable[[Column, Column], Column]:
         """Null-safe equality of two columns of the operands' types."""
@@ -190,18 +198,18 @@ class Compiler:
 
     def _eq(self, expr: Expr) -> Value:
         a, b = self.operands(expr)
-        return self.value(self.same(a, b), a, b)
+        return self.value(self.same(a, b), a, b, known=T.BooleanType())
 
     def _ne(self, expr: Expr) -> Value:
         a, b = self.operands(expr)
         same = self.same(a, b)
-        return self.value(lambda x, y: ~same(x, y), a, b)
+        return self.value(lambda x, y: ~same(x, y), a, b, known=T.BooleanType())
 
     def _ordered(self, expr: Expr, of: Callable[[Column, Column], Column]) -> Value:
         a, b = self.operands(expr, "bool", "string", "number")
         if "null" not in (kind(a.type), kind(b.type)) and kind(a.type) != kind(b.type):
             raise ExpressionError(f"{a.type.simpleString()} and {b.type.simpleString()} have no order")
-        return self.value(lambda x, y: of(x, y).cast("boolean"), a, b)
+        return self.value(lambda x, y: of(x, y).cast("boolean"), a, b, known=T.BooleanType())
 
     def _lt(self, expr: Expr) -> Value:
         return self._ordered(expr, lambda x, y: x < y)
@@ -221,7 +229,7 @@ class Compiler:
         a, b = self.operands(expr, "number")
         want = merged(merged(a.type, b.type), T.NullType())
         want = T.LongType() if isinstance(want, T.NullType) else want
-        return self.value(lambda x, y: of(x.cast(want), y.cast(want)).cast(want), a, b)
+        return self.value(lambda x, y: of(x.cast(want), y.cast(want)).cast(want), a, b, known=want)
 
     def _add(self, expr: Expr) -> Value:
         return self._arithmetic(expr, lambda x, y: x + y)
@@ -238,13 +246,13 @@ class Compiler:
             by_zero = F.when(F.isnan(x) | (x == 0), F.lit(float("nan"))).when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
             return F.when(y == 0, by_zero).otherwise(x / F.nullif(y, F.lit(0.0)))
 
-        return self.value(divided, *self.operands(expr, "number"))
+        return self.value(divided, *self.operands(expr, "number"), known=T.DoubleType())
 
     def _rem(self, expr: Expr) -> Value:
         a, b = self.operands(expr, "number")
         if isinstance(a.type, FRACTIONS) or isinstance(b.type, FRACTIONS):
             raise ExpressionError("% needs integers")
-        return self.value(lambda x, y: x.cast("bigint") % y.cast("bigint"), a, b)
+        return self.value(lambda x, y: x.cast("bigint") % y.cast("bigint"), a, b, known=T.LongType())
 
     def unsigned(self, v: Value, op: str) -> Value:
         if isinstance(v.type, FRACTIONS):
@@ -310,12 +318,12 @@ class Compiler:
                 result = F.when(take(predicate), fitted(take(body), body.type, want)).otherwise(result)
             return result
 
-        return Value(self, chained(lambda v: v.column), chained(lambda v: v.shadow))
+        return Value(self, chained(lambda v: v.column), chained(lambda v: v.shadow), want)
 
     # Strings
 
     def _strings(self, expr: Expr, of: Callable[[Column, Column], Column]) -> Value:
-        return self.value(lambda x, y: of(x.cast("string"), y.cast("string")), *self.operands(expr, "string"))
+        return self.value(lambda x, y: of(x.cast("string"), y.cast("string")), *self.operands(expr, "string"), known=T.BooleanType())
 
     def _str_contains(self, expr: Expr) -> Value:
         return self._strings(expr, F.contains)

@@ -51,11 +51,11 @@ def check_ids(nodes: DataFrame, edges: DataFrame) -> None:
 def check_rows(nodes: DataFrame, edges: DataFrame) -> None:
     """No null or negative ids, no id twice, and every endpoint a node."""
     for df, what, columns in ((nodes, "node", ("id",)), (edges, "edge", ("id", "src", "dest"))):
-        for c in columns:
-            if df.where(F.col(c).isNull()).head(1):
-                raise ValueError(f"{what} {c} is null")
-            if isinstance(df.schema[c].dataType, T.LongType) and df.where(F.col(c) < 0).head(1):
-                raise ValueError(f"{what} {c} is negative")
+        whole = isinstance(df.schema["id"].dataType, T.LongType)
+        wrong = F.concat(*(F.array(F.when(F.col(c).isNull(), F.lit(f"{what} {c} is null")), F.when(F.col(c) < 0, F.lit(f"{what} {c} is negative")) if whole else F.lit(None).cast("string")) for c in columns))
+        found = df.select(F.explode(F.array_compact(wrong)).alias("wrong")).head(1)
+        if found:
+            raise ValueError(found[0]["wrong"])
         twice = df.groupBy("id").count().where("count > 1").head(1)
         if twice:
             raise ValueError(f"duplicate {what} id {twice[0]['id']}")
