@@ -190,7 +190,7 @@ def _runs(member: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return member[first], place[first], np.diff(np.append(first, len(member)))
 
 
-def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 20_000, group: int = 8_000) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_000, group: int = 1_000) -> DataFrame:
     """key (MD5 of the text), spans: the places of each text at which a string of ``length`` bytes starts that also starts elsewhere, as runs (low, span)."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
