@@ -84,12 +84,14 @@ def state_type(kernel: Kernel, frame: DataFrame) -> T.StructType:
     names = sorted({*kernel.initial_state, *kernel.next_state})
     begin = Compiler(with_state(frame, {}))
     kinds: dict[str, T.DataType] = {n: begin.compile(v).type if isinstance(v := kernel.initial_state.get(n), Expr) else type_of(v) for n in names}
-    for _ in range(STEPS):
+    changed = {*names}
+    for step in range(STEPS):
         compiler = Compiler(with_state(frame, kinds))
-        new = {n: merged(t, compiler.compile(kernel.next_state[n]).type if n in kernel.next_state else T.NullType()) for n, t in kinds.items()}
-        if new == kinds:
+        open_ = [n for n in names if n in kernel.next_state and (step == 0 or any(s == "state" and f in changed for s, f in columns_of(kernel.next_state[n])))]
+        new = kinds | {n: merged(kinds[n], compiler.compile(kernel.next_state[n]).type) for n in open_}
+        changed, kinds = {n for n in names if new[n] != kinds[n]}, new
+        if not changed:
             return T.StructType([T.StructField(n, concrete(t)) for n, t in kinds.items()])
-        kinds = new
     raise RuntimeError("the state's types do not settle")
 
 
