@@ -72,7 +72,7 @@ def repeated_chunks(docs: DataFrame, bits: int, least: int) -> DataFrame:
     """
     cut_up = docs.mapInArrow(_chunks(bits, least), CHUNKS.format(id=docs.schema["doc_id"].dataType.simpleString()))
     often = cut_up.groupBy("digest1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest1")
-    shared = cut(cut_up.join(often, "digest1", "left_semi"))
+    shared = cut(cut_up.join(unbound(often, "digest1"), "digest1", "left_semi"))
     first = shared.groupBy("digest1", "digest2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("first")).where("n > 1").select("digest1", "digest2", "first")
     later = shared.join(unbound(first, "digest1", "digest2"), ["digest1", "digest2"]).where(F.struct("doc_id", "key", "start") != F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("chunks"))
