@@ -19,7 +19,9 @@ from pathloom.llm.common import batches, cut, small_batches, texts, utf8
 from pathloom.plans.lineage import unbound
 
 GEAR = np.random.default_rng(20240301).integers(0, 2**32, 256, np.uint32)
-CHUNKS = "digest1 long, digest2 long, key long, doc_id {id}, start int, size int"
+CHUNKS = "digest1 long, digest2 long, doc_id {id}, place long"
+#: A chunk's place: 32 bits that tell apart the texts of one id, then 31 bits of where it starts.
+START_BITS = 31
 
 
 def boundaries(data: np.ndarray, bits: int, least: int) -> np.ndarray:
@@ -49,48 +51,46 @@ def _chunks(bits: int, least: int):
 
         for batch in batches(parts):
             data, offsets = utf8(batch.column("text"))
-            view, rows, starts, sizes, digests = memoryview(data), [], [], [], []
+            view, keys = memoryview(data), np.asarray(batch.column("key")) << START_BITS
+            rows, places, digests = [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 ends = boundaries(data[a:b], bits, least)
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
                 rows.append(np.full(len(ends), i))
-                starts.append(begins)
-                sizes.append(ends - begins)
+                places.append(keys[i] | begins)
                 digests += [xxhash.xxh3_128_digest(view[a + s : a + e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-            row = pa.array(np.concatenate(rows))
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), batch.column("key").take(row), batch.column("doc_id").take(row), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(sizes), pa.int32())],
-                                             names=["digest1", "digest2", "key", "doc_id", "start", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), batch.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))], names=["digest1", "digest2", "doc_id", "place"])
 
     return run
 
 
 def repeated_chunks(docs: DataFrame, bits: int, least: int) -> DataFrame:
-    """doc_id, key, chunks: of each text, the (start, size) of the chunks that are not their digest's first place.
+    """doc_id, key, starts: of each text, where the chunks start that are not their digest's first place.
 
     Half a digest is counted first, so that chunks found once, nearly all, leave before whole rows are compared.
     """
     cut_up = docs.mapInArrow(_chunks(bits, least), CHUNKS.format(id=docs.schema["doc_id"].dataType.simpleString()))
     often = cut_up.groupBy("digest1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest1")
     shared = cut(cut_up.join(unbound(often, "digest1"), "digest1", "left_semi"))
-    first = shared.groupBy("digest1", "digest2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("first")).where("n > 1").select("digest1", "digest2", "first")
-    later = shared.join(unbound(first, "digest1", "digest2"), ["digest1", "digest2"]).where(F.struct("doc_id", "key", "start") != F.col("first"))
-    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("chunks"))
+    first = shared.groupBy("digest1", "digest2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").select("digest1", "digest2", "first")
+    later = shared.join(unbound(first, "digest1", "digest2"), ["digest1", "digest2"]).where(F.struct("doc_id", "place") != F.col("first"))
+    return later.groupBy("doc_id", F.shiftright("place", START_BITS).alias("key")).agg(F.collect_set(F.col("place").bitwiseAND((1 << START_BITS) - 1).cast("int")).alias("starts"))
 
 
-def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 24, shortest: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_chunks(docs: DataFrame, bits: int = 4, least: int = 24, shortest: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeated (chunks), n_removed (bytes), kept (the remaining bytes) for every row.
 
     Null texts are empty and have no chunks. Of equal texts the one with the smallest id stays and the others lose
     everything, whatever their length; rows that repeat both id and text stay alike. A table without rows gives none.
     """
     small_batches(docs.sparkSession)
-    keyed = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    keyed = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("text").bitwiseAND(2**32 - 1))
     whole = keyed.where("text <> ''").select("doc_id", "key", F.unhex(F.md5("text")).alias("digest"))
     originals = whole.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copied = whole.join(originals, "digest").where(F.col("doc_id") != F.col("original")).select("doc_id", "key", F.lit(True).alias("copied")).distinct()
     known = repeated_chunks(keyed, bits, least).join(copied, ["doc_id", "key"], "full")
-    joined = keyed.join(known, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.col("chunks.start").alias("starts"), F.col("chunks.size").alias("sizes"))
+    joined = keyed.join(known, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
@@ -111,9 +111,8 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 24, shortest: int
                     removed.append(0)
                     kept.append(body.tobytes())
                     continue
-                low, size = np.asarray(lows).astype(np.int64), np.asarray(batch.column("sizes")[i].values).astype(np.int64)
-                order = np.argsort(low)
-                low, high = low[order], (low + size)[order]
+                low = np.sort(np.asarray(lows).astype(np.int64))
+                high = ends[np.searchsorted(ends, low, "right")]
                 run = np.cumsum(np.concatenate([[0], low[1:] != high[:-1]]))
                 length = np.bincount(run, weights=high - low)[run]
                 gone = np.zeros(len(body), bool)
