@@ -190,11 +190,20 @@ def _runs(member: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return member[first], place[first], np.diff(np.append(first, len(member)))
 
 
+def same_text(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Joins rows by doc_id and key; other's columns come along, but for those two.
+
+    Null-safe, so that no filter is put before the exchange of the texts: within a query it is then made once and used again.
+    """
+    renamed = other.withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    return docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["__id"]) & docs["key"].eqNullSafe(renamed["__key"]), how).drop("__id", "__key")
+
+
 def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_000, group: int = 1_000) -> DataFrame:
-    """key (MD5 of the text), spans: the places of each text at which a string of ``length`` bytes starts that also starts elsewhere, as runs (low, span)."""
+    """docs: doc_id, text and key (MD5 of the text). key, spans: the places of each text at which a string of ``length`` bytes starts that also starts elsewhere, as runs (low, span)."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
     buckets = docs.select("text").mapInArrow(_buckets(length, gram), "bucket long")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = rows.join(shared, "bucket", "left_semi").groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows"))
@@ -206,7 +215,7 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_00
     sizes = stretches.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     open_ = cut(stretches.join(sizes, "bucket").select("bucket", "members", "one.*"))
     stretch = F.expr(f"substring(cast(text AS binary), low + 1, span + {length - 1})")
-    open_docs = docs.join(open_, "doc_id").where(F.unhex(F.md5("text")) == F.col("key")).select("bucket", "members", "key", "low", stretch.alias("stretch"))
+    open_docs = same_text(docs, open_, "inner").select("bucket", "members", "key", "low", stretch.alias("stretch"))
     groups = max(1, -(-open_.count() // group))
     strings = _strings(length)
 
@@ -240,9 +249,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     included; overlaps count, and all strings are judged on the input. Null texts are empty; texts shorter than ``length``
     bytes keep everything; copies of a text (and repeated rows) of at least ``length`` bytes lose everything. An empty table gives no rows.
     """
-    docs = texts(docs, id_col, text_col)
-    spans = repeated(docs, length, **settings)
-    joined = docs.withColumn("key", F.unhex(F.md5("text"))).join(spans, "key", "left").select("doc_id", "text", F.col("spans.low").alias("lows"), F.col("spans.span").alias("sizes"))
+    docs = texts(docs, id_col, text_col).withColumn("key", F.unhex(F.md5("text")))
+    spans = docs.select("doc_id", "key").distinct().join(repeated(docs, length, **settings), "key")
+    joined = same_text(docs, spans, "left").select("doc_id", "text", F.col("spans.low").alias("lows"), F.col("spans.span").alias("sizes"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
