@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,9 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def unbound(df: DataFrame, *keys: str) -> DataFrame:
-    """The same rows, with integer keys that are expressions no exchange below is known to be partitioned by.
+    """The same rows, with keys (integers, strings or binary) that are expressions no exchange below is known to be partitioned by.
 
     A join of an aggregate to the rows that it was made of would otherwise take over the aggregate's exchange; given one of its
     own on both sides, adaptive execution can split a key that holds many rows.
     """
-    return df.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+    def same(key: str) -> Column:
+        kind = df.schema[key].dataType
+        if isinstance(kind, T.BinaryType):
+            return F.unhex(F.hex(key))
+        return F.reverse(F.reverse(key)) if isinstance(kind, T.StringType) else F.bitwise_not(F.bitwise_not(key))
+
+    return df.withColumns({k: same(k) for k in keys})
