@@ -88,7 +88,7 @@ def dedup_chunks(docs: DataFrame, bits: int = 4, least: int = 24, shortest: int
     keyed = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("text").bitwiseAND(2**32 - 1))
     whole = keyed.where("text <> ''").select("doc_id", "key", F.unhex(F.md5("text")).alias("digest"))
     originals = whole.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copied = whole.join(originals, "digest").where(F.col("doc_id") != F.col("original")).select("doc_id", "key", F.lit(True).alias("copied")).distinct()
+    copied = whole.join(unbound(originals, "digest"), "digest").where(F.col("doc_id") != F.col("original")).select("doc_id", "key", F.lit(True).alias("copied")).distinct()
     known = repeated_chunks(keyed, bits, least).join(copied, ["doc_id", "key"], "full")
     joined = keyed.join(known, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
 
