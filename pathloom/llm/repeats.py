@@ -206,7 +206,8 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_00
     rows = docs.select("doc_id", "text").mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
     buckets = docs.select("text").mapInArrow(_buckets(length, gram), "bucket long")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = rows.join(shared, "bucket", "left_semi").groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows"))
+    kept = unbound(rows.join(unbound(shared, "bucket"), "bucket", "left_semi"), "bucket")
+    members = kept.groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows"))
     members = cut(members)
     stretches = members.groupBy("bucket", "id1", "id2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "span", F.col("lows")[0].alias("low"))).alias("one"))
     settled = members.select("bucket", "id1", "id2", "key", "span", "lows").join(unbound(stretches.where("n > 1").select("bucket", "id1", "id2"), "bucket", "id1", "id2"), ["bucket", "id1", "id2"], "left_semi")
