@@ -260,14 +260,11 @@ def one_step(nodes: DataFrame, states: dict) -> DataFrame:
     return found.select((F.col("nodes")[1] - 1).alias("id"), "state.*")
 
 
-@query("""SELECT vec_id AS id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last, array_to_string(list_transform(v[2:3], lambda x: CAST(x AS VARCHAR)), ',') AS slice,
-        array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS arg_high,
-        CAST(len(list_distinct(v)) AS BIGINT) AS n_unique, list_contains(v, v[4]) AS held, array_to_string(list_transform(list_filter(v, lambda x: x > 40), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS big,
-        CAST(list_sum(v) AS BIGINT) AS total, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean, list_median(v) AS middle, array_to_string(list_transform(list_slice(v, 3, 9, 3), lambda x: CAST(x AS VARCHAR)), ',') AS thirds
-    FROM (SELECT vec_id, list_transform(embedding[1:9], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings)""")
-def list_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List operations on the first nine components of every vector, as integers."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 9), lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+def integer_vectors(spark: SparkSession, sf_dir: str, components: Column) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(components, lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+
+
+def list_states(vectors: DataFrame) -> DataFrame:
     v = col("dest.v")
     text = lambda e: e.list.eval(element().cast("string")).list.join(",")
     return one_step(vectors, {
@@ -276,6 +273,26 @@ def list_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "thirds": text(v.list.gather_every(3, 2))})
 
 
+@query("""SELECT vec_id AS id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last, array_to_string(list_transform(v[2:3], lambda x: CAST(x AS VARCHAR)), ',') AS slice,
+        array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS arg_high,
+        CAST(len(list_distinct(v)) AS BIGINT) AS n_unique, list_contains(v, v[4]) AS held, array_to_string(list_transform(list_filter(v, lambda x: x > 40), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS big,
+        CAST(list_sum(v) AS BIGINT) AS total, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean, list_median(v) AS middle, array_to_string(list_transform(list_slice(v, 3, 9, 3), lambda x: CAST(x AS VARCHAR)), ',') AS thirds
+    FROM (SELECT vec_id, list_transform(embedding[1:9], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings)""")
+def list_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List operations on the first nine components of every vector, as integers; list_operations_whole takes all of them."""
+    return list_states(integer_vectors(spark, sf_dir, F.slice("embedding", 1, 9)))
+
+
+@query("""SELECT vec_id AS id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last, array_to_string(list_transform(v[2:3], lambda x: CAST(x AS VARCHAR)), ',') AS slice,
+        array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS arg_high,
+        CAST(len(list_distinct(v)) AS BIGINT) AS n_unique, list_contains(v, v[4]) AS held, array_to_string(list_transform(list_filter(v, lambda x: x > 40), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS big,
+        CAST(list_sum(v) AS BIGINT) AS total, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean, list_median(v) AS middle, array_to_string(list_transform(list_slice(v, 3, len(v), 3), lambda x: CAST(x AS VARCHAR)), ',') AS thirds
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings)""")
+def list_operations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List operations on all components of every vector, as integers."""
+    return list_states(integer_vectors(spark, sf_dir, F.col("embedding")))
+
+
 @query("""SELECT o_orderkey AS id, '{"key":' || o_orderkey || ',"next":' || (o_orderkey + 1) || ',"status":"' || o_orderstatus || '"}' AS json, o_orderstatus AS status, o_orderstatus = 'F' AS same, true AS missing FROM orders""")
 def struct_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("s"), F.col("o_orderkey").alias("k")).alias("m"))

@@ -37,6 +37,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(rows, key=repr) == sorted((tuple(map(plain, r)) for r in want), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_list_operations_read_whole_vectors(spark):
+    sizes = {r["vec_id"]: len(r["embedding"]) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    assert max(sizes.values()) > 9
+    assert {r["id"]: r["n"] for r in QUERIES["list_operations_whole"](spark, DIR).collect()} == sizes
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     """The entry module imports, and lists the graph queries, where the optional parts are gone."""
     for name in ("__spark_entry__.py", "pathloom"):
