@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
 
 Each text is the set of its five-word shingles (64-bit hashes; words are runs of letters, digits and
 underscores, without regard to ASCII case; a shorter text is one shingle). Equal sets form a copy class and go
-on as one row. Every class has one MinHash label per tree; texts whose labels share a prefix lie under one
-node of that tree's trie. The prefix is shortened from the longest until the chance that a pair at the threshold shares a
-node in some tree reaches the target recall.
+on as one row. Fixed bands stand in for an LSH forest: every class has ``trees`` bands of MinHash labels, one node
+(hash) for each band, and there is no trie. The length of all bands is computed beforehand: the longest with which the chance that
+a pair at the threshold shares a node in some band reaches the target recall.
 
 Nodes only propose: within a node, pairs whose whole signatures agree far less often than the threshold asks (by
 several standard deviations) are left out, and what remains is joined to groups. Within a group the
