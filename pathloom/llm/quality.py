@@ -36,8 +36,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 20_000) -> dict[int, list[str]]:
-    """Labelled texts for the fit, at most ``per_class`` of each label and ``most_chars`` of each text.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int | None = None) -> dict[int, list[str]]:
+    """Labelled texts for the fit, at most ``per_class`` of each label, whole unless ``most_chars`` is given.
 
     The ids with the smallest hashes are taken, so the choice is the same at every run; held-out ids never are.
     """
@@ -45,7 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars
     keyed = known.withColumn("draw", F.xxhash64("doc_id"))
     parts = [keyed.where(F.col("quality") == q).orderBy("draw", "doc_id").limit(per_class) for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("quality", "draw", "doc_id", F.substring("text", 1, most_chars).alias("text")).collect()
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("quality", "draw", "doc_id", (F.col("text") if most_chars is None else F.substring("text", 1, most_chars)).alias("text")).collect()
     found: dict[int, list[str]] = {0: [], 1: []}
     seen = set()
     for row in sorted(rows):

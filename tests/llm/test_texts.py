@@ -353,3 +353,10 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, model).count() == 0
     nothing = quality.fit(quality.sample(table, labels.limit(0)))
     assert quality.score(docs, nothing).where("score <> 0.5").count() == 0
+
+
+def test_quality_sample_is_whole(spark):
+    text = sentence(random.Random(1), 6000)
+    table = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string")
+    found = quality.sample(table, table.select("doc_id", F.lit(1).alias("quality")))
+    assert len(text) > 20_000 and found[1] and set(found[1]) == {text}
