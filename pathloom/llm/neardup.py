@@ -281,7 +281,16 @@ def digest(shingle_set: np.ndarray) -> bytes:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, that are the least id of their class; rows that repeat an id are one document."""
+    """The rows of docs, with all their columns, that are the least id of their class; rows that repeat an id are one document.
+
+    Each row with a null id is a document of its own, which comes after those with ids.
+    """
+    unnamed = docs.where(F.col(id_col).isNull())
+    if unnamed.head(1):
+        top = docs.agg(F.max(F.col(id_col).cast("long"))).head()[0]
+        numbered = cut(unnamed.withColumn("__named", F.lit(0 if top is None else top + 1).cast("long") + F.monotonically_increasing_id()))
+        named = docs.where(F.col(id_col).isNotNull()).withColumn("__named", F.col(id_col).cast("long")).unionByName(numbered)
+        return one_of_each(named, "__named", text_col, **settings).drop("__named")
     classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **settings)
     leaders = cut(classes.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__id"), "n"))
     kept = docs.join(leaders.select("__id"), docs[id_col] == F.col("__id"), "left_semi")

@@ -140,7 +140,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = label(marked)
     found = labelled.where("kind IS NULL").join(bootstrap(labelled, **settings), "value")
     per_row = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.col("found").alias("kind"), "end")).alias("more"))
-    joined = marked.join(per_row, ["doc_id", "key"], "left")
+    per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "more")
+    joined = marked.join(per_row, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
     return joined.select("doc_id", "key", "base", F.sort_array(F.concat("base", F.coalesce("more", F.expr(f"cast(array() AS array<{SPAN}>)")))).alias("spans"))
 
 
@@ -162,9 +163,9 @@ def redact(text: Column, spans: Column) -> Column:
 def without_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, their private spans replaced by their kind.
 
-    Only texts with spans change; the others, null included, stay as they are.
+    Only texts with spans change; the others, null included, stay as they are. Null ids equal each other; such rows are told apart by their text.
     """
     found = find_private(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
+    joined = docs.withColumn("__hash", F.xxhash64(text)).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
     return joined.select(*(F.when(F.col("__spans").isNotNull(), redact(F.col(c), F.col("__spans"))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -360,3 +360,18 @@ def test_quality_sample_is_whole(spark):
     table = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string")
     found = quality.sample(table, table.select("doc_id", F.lit(1).alias("quality")))
     assert len(text) > 20_000 and found[1] and set(found[1]) == {text}
+
+
+def test_null_ids(spark):
+    """Rows with a null id pass the near-duplicate stage by their text, and lose personal data."""
+    r = random.Random(2)
+    a, b, c = (sentence(r, 60) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b + " more"), (None, c), (7, c + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = rows_of(neardup.one_of_each(df), "doc_id", "text")
+    assert {(i, t) for i, t in kept if i is not None} == {(1, a), (7, c + " more")} and len(kept) == 3
+    assert [t for i, t in kept if i is None][0] in (b, b + " more")
+    cards = [(i, f"{sentence(r, 5)} pay with card {luhn_number(r, True)} today") for i in range(12)]
+    mails = [(None, "write to some.one@example.org now"), (None, f"pay with card {luhn_number(r, False)} today")]
+    hidden = private.without_private(spark.createDataFrame(cards + mails, "doc_id long, text string")).where("doc_id IS NULL")
+    assert sorted(x["text"] for x in hidden.collect()) == ["pay with card <CARD> today", "write to <EMAIL> now"]
