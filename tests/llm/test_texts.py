@@ -130,6 +130,29 @@ def test_chunks(docs, empty):
     assert chunking.dedup_chunks(empty).count() == 0
 
 
+def test_chunks_grow(spark):
+    """A passage of 51 words of which only short runs of chunks are in step is removed with its equal bytes."""
+    def cut_up(t):
+        ends = chunking.boundaries(np.frombuffer(t.encode(), np.uint8), 4, 24).tolist()
+        return list(zip([0, *ends[:-1]], ends, strict=True))
+
+    r = random.Random(3)
+    while True:
+        passage = sentence(r, 51)
+        a, b = (f"{sentence(r, 30)} {passage} {sentence(r, 30)}" for _ in range(2))
+        known = {a[x:y] for x, y in cut_up(a)}
+        same = [(x, y) for x, y in cut_up(b) if b[x:y] in known]
+        if same and same[-1][1] - same[0][0] < 96:
+            break
+    start = b.index(passage)
+    got = {x["doc_id"]: x for x in chunking.dedup_chunks(spark.createDataFrame([(1, a), (2, b), (2, b), (3, None)], "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["kept"] == a.encode()
+    assert got[2]["n_repeated"] == len(same) and got[2]["n_removed"] >= 96
+    left, right = same[0][0] - 96, same[-1][1] + 96
+    gone = range(max(start - 1, left), min(start + len(passage) + 1, right))
+    assert got[2]["kept"] == (b[: gone.start] + b[gone.stop :]).encode()
+
+
 def test_gif_round_trip(docs, empty):
     got = {r["doc_id"]: r for r in gif.media_columns(docs, rows=8).collect()}
     for i, t, *_ in corpus():
