@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,16 @@ from pyspark.sql import types as T
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    A session on one machine (master local) that names none gets a temporary folder; on a cluster that is an error, since
+    executors share no local folder. Spark removes the files of checkpoints that are no longer used if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
     return df.checkpoint()
 
 
