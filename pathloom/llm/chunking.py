@@ -1,56 +1,69 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of each text; a chunk ends where the hash's low bits are zero, but not
-before ``least`` bytes. The hash depends on nearby bytes alone, but the skipped bytes depend on the last boundary: after a
-difference it can take several chunks until the boundaries of two texts fall in step again.
-Chunks are compared by a 128-bit digest. Of each digest the first place (by document id, then
-place) stays. Runs of repeated chunks of ``shortest`` bytes or more are removed. A shorter run is grown first: the bytes
-before and after it are compared with those at the first place of its outer chunks, and if it reaches ``shortest``
-bytes with what is equal, all of that is removed. What stays shorter is chance. A passage without one chunk in step is missed.
+A gear hash of 32 bits rolls over the bytes of each text: shifted by one bit and added to at each byte, its value
+depends on the last 32. A chunk ends at each place whose hash is the least among those of the ``reach`` places to either
+side. So a boundary depends on the ``reach`` + 32 bytes before it and the ``reach`` after it alone: two
+texts that share a longer passage cut its inside alike, whatever stands before it, and an insertion moves
+no boundary beyond that distance. Boundaries are more than ``reach`` bytes apart and about twice that on
+average; in stretches whose hashes repeat, equal ones that follow too soon are skipped.
+
+Chunks are compared by a 128-bit digest. Of each digest the first place (by document id, then place) stays.
+A passage is a run of repeated chunks, one after the other, of ``shortest`` bytes or more, or a whole text: passages are
+removed. Shorter runs are stock phrases; they are counted (``n_shared``) and stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, cut, small_batches, texts, utf8
+from pathloom.llm.common import batches, cut, texts, utf8
 from pathloom.plans.lineage import unbound
 
 GEAR = np.random.default_rng(20240301).integers(0, 2**32, 256, np.uint32)
-CHUNKS = "digest1 long, digest2 long, doc_id {id}, place long"
+WINDOW = 32
 #: A chunk's place: 32 bits that tell apart the texts of one id, then 31 bits of where it starts.
 START_BITS = 31
 START_MASK = (1 << START_BITS) - 1
 
 
-def boundaries(data: np.ndarray, bits: int, least: int) -> np.ndarray:
-    """Where the chunks of one text end.
+def gear_hashes(data: np.ndarray) -> np.ndarray:
+    """The gear hash after each byte: that of 2k bytes is made of those of k bytes at the place and k before."""
+    hashes, size = GEAR[data], 1
+    while size < WINDOW:
+        longer = hashes.copy()
+        longer[size:] += hashes[:-size] << np.uint32(size)
+        hashes, size = longer, 2 * size
+    return hashes
 
-    The low bits of the gear hash (shift by one, add the byte's number) depend on the last ``bits`` bytes
-    only, so they are summed for all places at once.
-    """
+
+def boundaries(data: np.ndarray, reach: int) -> np.ndarray:
+    """Where the chunks of one text end."""
     if not len(data):
         return np.zeros(0, np.int64)
-    gear, hashes = GEAR[data], np.zeros(len(data), np.uint32)
-    for back in range(min(bits, len(data))):
-        hashes[back:] += gear[: len(data) - back] << np.uint32(back)
-    ends, last = [], 0
-    for cut_at in (np.flatnonzero(hashes & np.uint32((1 << bits) - 1) == 0) + 1).tolist():
-        if cut_at - last >= least:
-            ends.append(cut_at)
-            last = cut_at
-    if last < len(data):
-        ends.append(len(data))
-    return np.array(ends, np.int64)
-
-
-def _chunks(bits: int, least: int):
+    hashes, window = gear_hashes(data), 2 * reach + 1
+    edge = np.full(reach, 0xFFFFFFFF, np.uint32)
+    least, size = np.concatenate([edge, hashes, edge]), 1
+    while 2 * size <= window:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    least = np.minimum(least[: len(data)], least[window - size : window - size + len(data)])
+    ends = np.flatnonzero(hashes == least) + 1
+    ends = ends[(ends > reach) & (ends < len(data) - reach)]
+    if len(ends) and np.diff(ends, prepend=0).min() <= reach:
+        kept, last = [], 0
+        for end in ends.tolist():
+            if end - last > reach:
+                kept.append(end)
+                last = end
+        ends = np.array(kept, np.int64)
+    return np.append(ends, len(data)).astype(np.int64)
+
+
+def _chunks(reach: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -59,7 +72,7 @@ def _chunks(bits: int, least: int):
             view, keys = memoryview(data), np.asarray(batch.column("key")) << START_BITS
             rows, places, digests = [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                ends = boundaries(data[a:b], bits, least)
+                ends = boundaries(data[a:b], reach)
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
                 rows.append(np.full(len(ends), i))
                 places.append(keys[i] | begins)
@@ -70,160 +83,59 @@ def _chunks(bits: int, least: int):
     return run
 
 
-def repeated_chunks(docs: DataFrame, bits: int, least: int) -> DataFrame:
-    """doc_id, key, starts: of each text, where the chunks start that are not their digest's first place, with that place.
+def repeated_chunks(docs: DataFrame, reach: int) -> DataFrame:
+    """doc_id, key, starts: of each text, where the chunks start that are not their digest's first place.
 
     Half a digest is counted first, so that chunks found once, nearly all, leave before whole rows are compared.
     """
-    cut_up = docs.mapInArrow(_chunks(bits, least), CHUNKS.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    cut_up = docs.mapInArrow(_chunks(reach), f"digest1 long, digest2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long")
     often = cut_up.groupBy("digest1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest1")
     shared = cut(cut_up.join(unbound(often, "digest1"), "digest1", "left_semi"))
-    first = shared.groupBy("digest1", "digest2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").select("digest1", "digest2", "first")
-    later = shared.join(unbound(first, "digest1", "digest2"), ["digest1", "digest2"]).where(F.struct("doc_id", "place") != F.col("first"))
-    start = F.col("place").bitwiseAND(START_MASK).cast("int").alias("start")
-    return later.groupBy("doc_id", F.shiftright("place", START_BITS).alias("key")).agg(F.collect_set(F.struct(start, F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))).alias("starts"))
+    # Rows without an id come after all others.
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")
+    first = shared.groupBy("digest1", "digest2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("digest1", "digest2", "first")
+    later = shared.join(unbound(first, "digest1", "digest2"), ["digest1", "digest2"]).where(~place.eqNullSafe(F.col("first")))
+    start = F.col("place").bitwiseAND(START_MASK).cast("int")
+    return later.groupBy("doc_id", F.shiftright("place", START_BITS).alias("key")).agg(F.collect_set(start).alias("starts"))
 
 
-def runs(ends: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of repeated chunks, by their sorted starts: each one's end, its run's number and its run's length."""
+def passages(ends: np.ndarray, low: np.ndarray, shortest: int) -> np.ndarray:
+    """Of repeated chunks, by their sorted starts: the run (start, end) of each that is part of a passage, once a chunk."""
     high = ends[np.searchsorted(ends, low, "right")]
     number = np.cumsum(np.concatenate([[0], low[1:] != high[:-1]]))
-    return high, number, np.bincount(number, weights=high - low)[number]
+    length = np.bincount(number, weights=high - low)[number]
+    return np.stack([low, high], axis=1)[(length >= shortest) | (length == ends[-1])]
 
 
-def _short_runs(bits: int, least: int, shortest: int):
-    """Both edges of each run that is too short, with the first place of the outer chunk and the bytes beyond it."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts):
-            data, offsets = utf8(batch.column("text"))
-            rows, lows, highs, sides, first_ids, first_ats, beyond = [], [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                body = data[offsets[i] : offsets[i + 1]]
-                starts = batch.column("starts")[i].values
-                if starts is None:
-                    continue
-                low = np.asarray(starts.field("start")).astype(np.int64)
-                order = np.argsort(low)
-                low, first_at = low[order], np.asarray(starts.field("first_place"))[order]
-                first_id = starts.field("first_id").take(pa.array(order))
-                high, number, length = runs(boundaries(body, bits, least), low)
-                heads = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-                tails = np.append(heads[1:], len(low)) - 1
-                for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
-                    if length[a] < shortest:
-                        rows += [i, i]
-                        lows += [low[a]] * 2
-                        highs += [high[b]] * 2
-                        sides += [0, 1]
-                        first_ids += [first_id[a], first_id[b]]
-                        first_ats += [first_at[a], first_at[b] + high[b] - low[b]]
-                        beyond += [_beyond(body, int(low[a]), 0, shortest), _beyond(body, int(high[b]), 1, shortest)]
-            kind = batch.column("doc_id").type
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), batch.column("key").take(pa.array(rows, pa.int64())), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(sides, pa.int32()), pa.array(first_ids, kind), pa.array(first_ats, pa.int64()), pa.array(beyond, pa.binary())], names=["doc_id", "key", "low", "high", "side", "first_id", "first_at", "beyond"])
-
-    return run
-
-
-def _beyond(body: np.ndarray, at: int, side: int, most: int) -> bytes:
-    """The bytes before a place, backwards, or those from it on."""
-    return (body[at : at + most] if side else body[max(0, at - most) : at][::-1]).tobytes()
-
-
-def _at_first(most: int):
-    """The bytes beyond each place that is asked for."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts):
-            data, offsets = utf8(batch.column("text"))
-            rows, ats, sides, there = [], [], [], []
-            for i, asked in enumerate(batch.column("asked")):
-                if not asked.is_valid:
-                    continue
-                body = data[offsets[i] : offsets[i + 1]]
-                for at, side in zip(asked.values.field("first_at").to_pylist(), asked.values.field("side").to_pylist(), strict=True):
-                    rows.append(i)
-                    ats.append(at)
-                    sides.append(side)
-                    there.append(_beyond(body, at & START_MASK, side, most))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ats, pa.int64()), pa.array(sides, pa.int32()), pa.array(there, pa.binary())], names=["first_id", "first_at", "side", "there"])
-
-    return run
-
-
-def _equal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many bytes are equal beyond each edge."""
-    for batch in batches(parts):
-        equal = [len(commonprefix(pair)) for pair in zip(batch.column("beyond").to_pylist(), batch.column("there").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "low", "high", "side")), pa.array(equal, pa.int32())], names=["doc_id", "key", "low", "high", "side", "equal"])
-
-
-def grown_runs(keyed: DataFrame, known: DataFrame, bits: int, least: int, shortest: int) -> DataFrame:
-    """doc_id, key, grown: of each text, the runs (low, start, end) that reach ``shortest`` bytes only with equal bytes at their edges.
-
-    ``low`` is where the run starts, start and end are those of what is to go.
-    """
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    # Left joins, whose rows without a match are skipped in Python: so all three joins to the texts share one exchange of them.
-    with_starts = keyed.join(known.where("copied IS NULL AND starts IS NOT NULL"), ["doc_id", "key"], "left").select("doc_id", "key", "text", "starts")
-    short = with_starts.mapInArrow(_short_runs(bits, least, shortest), f"doc_id {kind}, key long, low int, high int, side int, first_id {kind}, first_at long, beyond binary")
-    places = ["first_id", "first_at", "side"]
-    asked = short.select(*places).distinct().groupBy(F.col("first_id").alias("doc_id"), F.shiftright("first_at", START_BITS).alias("key")).agg(F.collect_list(F.struct("first_at", "side")).alias("asked"))
-    there = keyed.join(asked, ["doc_id", "key"], "left").select("doc_id", "text", "asked").mapInArrow(_at_first(shortest), f"first_id {kind}, first_at long, side int, there binary").groupBy(*places).agg(F.max("there").alias("there"))
-    equal = short.join(unbound(there, "first_at"), places).select("doc_id", "key", "low", "high", "side", "beyond", "there").mapInArrow(_equal, f"doc_id {kind}, key long, low int, high int, side int, equal int")
-    edge = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("equal"))), F.lit(0))
-    sized = equal.groupBy("doc_id", "key", "low", "high").agg(edge(0).alias("before"), edge(1).alias("after"))
-    enough = sized.where(F.col("high") - F.col("low") + F.col("before") + F.col("after") >= shortest)
-    return enough.groupBy("doc_id", "key").agg(F.collect_list(F.struct("low", (F.col("low") - F.col("before")).alias("start"), (F.col("high") + F.col("after")).alias("end"))).alias("grown"))
-
-
-def dedup_chunks(docs: DataFrame, bits: int = 4, least: int = 24, shortest: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_chunks, n_repeated (chunks), n_removed (bytes), kept (the remaining bytes) for every row.
+def dedup_chunks(docs: DataFrame, reach: int = 20, shortest: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_chunks, n_shared (chunks that stand elsewhere first), n_repeated (those removed with a passage), n_removed (bytes) and kept (the remaining bytes) for every row.
 
     Null texts are empty and have no chunks. Of equal texts the one with the smallest id stays and the others lose
-    everything, whatever their length; rows that repeat both id and text stay alike. A run below ``shortest`` counts with its
-    equal bytes on both sides; longer ones end where their chunks do. Only first places are compared. A table without rows gives none.
+    everything, whatever their length; rows that repeat both id and text stay alike; null ids come last and are one id. At its
+    edges a passage stays up to the nearest boundary inside it. A table without rows gives none.
     """
-    small_batches(docs.sparkSession)
     keyed = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("text").bitwiseAND(2**32 - 1))
-    whole = keyed.where("text <> ''").select("doc_id", "key", F.unhex(F.md5("text")).alias("digest"))
-    originals = whole.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copied = whole.join(unbound(originals, "digest"), "digest").where(F.col("doc_id") != F.col("original")).select("doc_id", "key", F.lit(True).alias("copied")).distinct()
-    known = cut(repeated_chunks(keyed, bits, least).join(copied, ["doc_id", "key"], "full"))
-    marks = known.join(grown_runs(keyed, known, bits, least, shortest), ["doc_id", "key"], "left").withColumn("starts", F.col("starts.start"))
-    joined = keyed.join(marks, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts", "grown")
+    found = repeated_chunks(keyed, reach).withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["key"] == found["__key"]), "left").select("doc_id", "text", "starts")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
             data, offsets = utf8(batch.column("text"))
-            counts, repeats, removed, kept = [], [], [], []
+            counts, shared, repeats, removed, kept = [], [], [], [], []
             for i in range(batch.num_rows):
                 body = data[offsets[i] : offsets[i + 1]]
-                ends = boundaries(body, bits, least)
-                counts.append(len(ends))
-                if batch.column("copied")[i].as_py():
-                    repeats.append(len(ends))
-                    removed.append(len(body))
-                    kept.append(b"")
-                    continue
-                lows = batch.column("starts")[i].values
-                if lows is None or not len(lows):
-                    repeats.append(0)
-                    removed.append(0)
-                    kept.append(body.tobytes())
-                    continue
-                low = np.sort(np.asarray(lows).astype(np.int64))
-                high, number, length = runs(ends, low)
-                gone, counted = np.zeros(len(body), bool), length >= shortest
-                for a, b in zip(low[counted].tolist(), high[counted].tolist(), strict=True):
+                ends, lows = boundaries(body, reach), batch.column("starts")[i].values
+                low = np.sort(np.asarray(lows).astype(np.int64)) if lows is not None else np.zeros(0, np.int64)
+                gone = np.zeros(len(body), bool)
+                parts_gone = passages(ends, low, shortest) if len(low) else ()
+                for a, b in parts_gone:
                     gone[a:b] = True
-                for run in batch.column("grown")[i].as_py() or ():
-                    gone[run["start"] : run["end"]] = True
-                    counted |= number == number[np.searchsorted(low, run["low"])]
-                repeats.append(int(counted.sum()))
+                counts.append(len(ends))
+                shared.append(len(low))
+                repeats.append(len(parts_gone))
                 removed.append(int(gone.sum()))
                 kept.append(body[~gone].tobytes())
             long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), long(np.diff(offsets)), long(counts), long(repeats), long(removed), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), long(np.diff(offsets)), long(counts), long(shared), long(repeats), long(removed), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_chunks", "n_shared", "n_repeated", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_chunks long, n_repeated long, n_removed long, kept binary")
+    return joined.mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_chunks long, n_shared long, n_repeated long, n_removed long, kept binary")

@@ -11,21 +11,15 @@ from pyspark.sql import functions as F
 
 from pathloom.plans.lineage import cut
 
-__all__ = ["batches", "cut", "small_batches", "table", "texts", "utf8"]
+__all__ = ["batches", "cut", "table", "texts", "utf8"]
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so many rows at most, so that a batch of long texts stays in a worker's memory."""
-    if int(spark.conf.get(ARROW_ROWS, "10000")) > rows or int(spark.conf.get(ARROW_ROWS, "10000")) <= 0:
-        spark.conf.set(ARROW_ROWS, str(rows))
-
-
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, whatever else the table holds; a null text counts as empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -43,8 +37,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold rows."""
+def batches(parts: Iterator[pa.RecordBatch], most: int = MOST_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches that hold rows, halved until they hold ``most`` bytes or a single row.
+
+    What arrives is bounded by Spark (spark.sql.execution.arrow.maxBytesPerBatch); this bounds what an operator works on at once.
+    """
     for part in parts:
-        if part.num_rows:
-            yield part
+        waiting = [part] if part.num_rows else []
+        while waiting:
+            piece = waiting.pop()
+            if piece.num_rows == 1 or piece.nbytes <= most:
+                yield piece
+            else:
+                half = piece.num_rows // 2
+                waiting += [piece.slice(half), piece.slice(0, half)]
