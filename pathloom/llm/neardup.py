@@ -1,12 +1,18 @@
-"""N-gram Jaccard join by MinHash banding, with exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest proposes, exact verification decides.
 
 Each text is the set of its five-word shingles (64-bit hashes; words are runs of letters, digits and
 underscores, without regard to ASCII case; a shorter text is one shingle). Equal sets form a copy class and go
-on as one row. Fixed bands stand in for an LSH forest: every class has ``trees`` bands of MinHash labels, one node
-(hash) for each band, and there is no trie. The length of all bands is computed beforehand: the longest with which the chance that
-a pair at the threshold shares a node in some band reaches the target recall.
+on as one row with a signature of ``4 * trees`` MinHash labels. Each of ``trees`` prefix tries holds all classes under a
+label sequence of its own (the signature read from another label on, four labels further for each trie).
 
-Nodes only propose: within a node, pairs whose whole signatures agree far less often than the threshold asks (by
+The join looks up every class under a prefix of its sequence and shortens the prefix label by label. At each length, classes
+under one trie node are compared: a task sorts its rows by their sequences, so a node is a run of rows. Pairs whose
+signatures agree as often as the threshold asks for are counted by the number of tries that hold them together; those in one
+or two tries tell how many are in none (Chao's estimate, made cautious by three more singletons), which is
+the measured recall. The prefix is short enough once that reaches the target for near, nearer and nearest pairs each, or once
+pairs exactly at the threshold are found with that chance whatever the data.
+
+Nodes only propose: pairs whose whole signatures agree far less often than the threshold asks (by
 several standard deviations) are left out, and what remains is joined to groups. Within a group the
 Jaccard similarity of every pair is computed exactly. Nodes and groups beyond ``block`` rows are dealt out as pairs of
 blocks. A task returns how many links each row has, and a forest of links that spans them, never all pairs.
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, cut, small_batches, texts, utf8
+from pathloom.llm.common import batches, cut, texts, utf8
 from pathloom.operators.components import components
 from pathloom.plans.lineage import unbound
 
@@ -85,36 +91,36 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         row = end
 
 
-def prefix_depth(threshold: float, recall: float, trees: int, longest: int = 12) -> int:
-    """The longest prefix with which a pair at the threshold shares a node of some tree with the chance asked for."""
+OWN_LABELS = 4
+
+
+def safe_depth(threshold: float, recall: float, trees: int, longest: int = 12) -> int:
+    """The longest prefix with which a pair at the threshold shares a node of some trie with the chance asked for."""
     for depth in range(longest, 1, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
     return 1
 
 
-def _signatures(n: int, trees: int, depth: int):
+def _signatures(n: int, labels: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
             sets = list(shingle_sets(batch.column("text"), n))
             full = [i for i, s in enumerate(sets) if len(s)]
             digests: list[bytes | None] = [None] * len(sets)
             counts = pa.array([len(s) for s in sets], pa.int64())
-            nodes: list[np.ndarray | None] = [None] * len(sets)
             signatures: list[bytes | None] = [None] * len(sets)
             if full:
                 sizes = np.array([len(sets[i]) for i in full])
                 starts = np.cumsum(sizes) - sizes
                 flat = np.concatenate([sets[i] for i in full])
-                least = np.stack([np.minimum.reduceat(flat * ODD[16 + j], starts) for j in range(trees * depth)], axis=1)
+                least = np.stack([np.minimum.reduceat(flat * ODD[16 + j], starts) for j in range(labels)], axis=1)
                 sums = [np.add.reduceat(scramble(flat ^ ODD[j]), starts) for j in (8, 9)]
                 pair = np.stack([sums[0] + sizes.astype(np.uint64), sums[1]], axis=1)
-                labels = scramble(least).reshape(len(full), trees, depth)
-                node = scramble((labels * ODD[:depth]).sum(axis=2) + np.arange(trees, dtype=np.uint64)).view(np.int64)
-                short = labels.reshape(len(full), -1).astype("<u2")
+                short = scramble(least).astype("<u2")
                 for k, i in enumerate(full):
-                    digests[i], nodes[i], signatures[i] = pair[k].tobytes(), node[k], short[k].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(signatures, pa.binary()), counts], names=["doc_id", "digest", "nodes", "signature", "shingles"])
+                    digests[i], signatures[i] = pair[k].tobytes(), short[k].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), counts], names=["doc_id", "key", "digest", "signature", "shingles"])
 
     return run
 
@@ -170,28 +176,77 @@ def dealt(rows: DataFrame, keys: list[str], count: Column, id_col: str, block: i
     return spread.repartition(*keys, "first", "second").sortWithinPartitions(*keys, "first", "second")
 
 
-def _propose(trees: int, depth: int, least: int):
+def sequences(trees: int, depth: int) -> np.ndarray:
+    """Which labels of a signature the first ``depth`` places of each trie's sequence are."""
+    return (OWN_LABELS * np.arange(trees)[:, None] + np.arange(depth)) % (OWN_LABELS * trees)
+
+
+def strata(threshold: float) -> list[float]:
+    """Lower bounds of near, nearer and nearest pairs."""
+    return [threshold, threshold + (1 - threshold) / 3, threshold + 2 * (1 - threshold) / 3]
+
+
+def _propose(trees: int, depth: int, least: int, threshold: float):
+    """Links (a, b) within nodes, and rows without a link that count pairs: stratum, once, twice, all."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for table in groups(parts, ["node", "first", "second"]):
+        labels, places = OWN_LABELS * trees, sequences(trees, depth)
+        bounds = np.array([b * labels for b in strata(threshold)])
+        counts = np.zeros((len(bounds), 3))
+        for table in groups(parts, ["tree", "node", "first", "second"]):
             ids, own = np.asarray(table.column("id")), np.asarray(table.column("own"))
-            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), trees * depth)
-            across = own.min() != own.max()
+            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), labels)
+            across = table.column("first")[0] != table.column("second")[0]
             forest = Forest(len(ids))
             for i in range(len(ids) - 1):
-                near = (signatures[i + 1 :] == signatures[i]).sum(axis=1) >= least
+                equal = signatures[i + 1 :] == signatures[i]
+                agree = equal.sum(axis=1)
                 if across:
-                    near &= own[i + 1 :] != own[i]
-                for j in np.flatnonzero(near).tolist():
+                    agree[own[i + 1 :] == own[i]] = -1
+                for j in np.flatnonzero(agree >= least).tolist():
                     forest.join(i, i + 1 + j)
+                linked = np.flatnonzero(agree >= bounds[0])
+                if len(linked):
+                    held = equal[linked][:, places].all(axis=2).sum(axis=1)  # tries that hold the pair together
+                    stratum = np.searchsorted(bounds, agree[linked], "right") - 1
+                    for k, chosen in enumerate((held == 1, held == 2, held > 0)):
+                        counts[:, k] += np.bincount(stratum[chosen], weights=1 / held[chosen], minlength=len(bounds))
             for a, b in forest.links:
                 left.append(ids[a])
                 right.append(ids[b])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        n, m = len(left), len(bounds)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left + [None] * m, pa.int64()), pa.array(right + [None] * m, pa.int64()), pa.array([None] * n + list(range(m)), pa.int32()), *(pa.array([None] * n + counts[:, k].tolist(), pa.float64()) for k in range(3))],
+            names=["a", "b", "stratum", "once", "twice", "pairs"])
 
     return run
 
 
+def measured_recall(once: float, twice: float, pairs: float) -> float:
+    """The share of pairs that some trie holds together, from those held by one and by two; three more singletons than seen, so few pairs prove little."""
+    missed = (once + 3) * (once + 2) / (2 * (twice + 1))
+    return pairs / (pairs + missed)
+
+
+def proposals(sets: DataFrame, threshold: float, trees: int, recall: float, slack: float, block: int) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Links (a, b) between classes (id, signature), and the prefix lengths tried with the recall measured at each."""
+    safe = safe_depth(threshold, recall, trees)
+    depth, tried = min(safe + 2, 2 * OWN_LABELS), []
+    around = F.concat("signature", F.substring("signature", 1, 4 * OWN_LABELS))
+    while True:
+        under = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.substring(around, 2 * OWN_LABELS * t + 1, F.lit(2 * depth))).alias("node"))))
+        nodes = sets.select("id", under.alias("at")).select("id", "at.tree", "at.node")
+        shared = nodes.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        members = nodes.join(unbound(shared, "tree", "node"), ["tree", "node"]).join(sets.select("id", "signature"), "id").select("tree", "node", "members", "id", "signature")
+        found = cut(dealt(members, ["tree", "node"], F.col("members"), "id", block).mapInArrow(_propose(trees, depth, int((threshold - slack) * trees * OWN_LABELS), threshold), "a long, b long, stratum int, once double, twice double, pairs double"))
+        counted = found.where("stratum IS NOT NULL").groupBy("stratum").agg(F.sum("once"), F.sum("twice"), F.sum("pairs")).collect()
+        tried.append((depth, min((measured_recall(*row[1:]) for row in counted), default=0.0)))
+        if tried[-1][1] >= recall or depth <= safe:
+            return found.where("a IS NOT NULL").select("a", "b"), tried
+        depth -= 1
+
+
 def _verify(threshold: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(parts, ["root", "first", "second"]):
@@ -225,73 +280,85 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 22, recall: float = 0.9999, block: int = 1024, slack: float = 0.26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, copy_id for every row.
-
-    n_links: how many other rows have a similarity of ``threshold`` or more; class_id: the least id that is reached
-    over such links; copy_id: the least id with the same set of shingles. A text without words (null, empty) has no links and is its
-    own class. Repeated rows are copies of each other. Ids are integers; an empty table gives no rows.
-    """
-    small_batches(docs.sparkSession)
-    docs = texts(docs, id_col, text_col)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    depth = prefix_depth(threshold, recall, trees)
-    signed = cut(docs.mapInArrow(_signatures(n, trees, depth), "doc_id long, digest binary, nodes array<long>, signature binary, shingles long"))
-    sets = cut(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles")))
-
-    nodes = sets.select("id", F.explode("nodes").alias("node"))
-    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = nodes.join(shared, "node").join(sets.select("id", "signature"), "id").select("node", "members", "id", "signature")
-    proposed = dealt(members, ["node"], F.col("members"), "id", block).mapInArrow(_propose(trees, depth, int((threshold - slack) * trees * depth)), "a long, b long")
+def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 22, recall: float = 0.9999, block: int = 1024, node_block: int = 512, slack: float = 0.26) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id (long), key (MD5 of the text), text. Rows (doc_id, key, digest), and classes (digest, set, copy_id, root, class_id, n_links)."""
+    signed = cut(docs.mapInArrow(_signatures(n, trees * OWN_LABELS), "doc_id long, key binary, digest binary, signature binary, shingles long"))
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    sets = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))
+    proposed, _ = proposals(sets, threshold, trees, recall, slack, node_block)
     candidates = cut(components(proposed))
 
     # A group of long texts counts as more rows, so that no block holds more than block * 4096 shingles on average.
-    grouped = candidates.join(sets.select("id", "digest", "copies", "shingles"), "id")
+    grouped = candidates.join(sets.select("id", "first", "digest", "copies", "shingles"), "id")
     sizes = grouped.groupBy("root").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("shingles") / 4096)).alias("members"))
     wanted = grouped.drop("shingles").join(unbound(sizes, "root"), "root")
     verified = cut(dealt(_with_shingles(docs, wanted, n), ["root"], F.col("members"), "id", block).mapInArrow(_verify(threshold), "id long, links long, other long"))
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = components(verified.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = sets.select("digest", "id", "copies").join(links, "id", "left").join(classes, "id", "left").select(
-        "digest", F.col("id").alias("copy_id"), F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "digest").join(known, "digest", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
+    roots = cut(components(verified.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    leasts = roots.join(sets.select("id", "first"), "id").groupBy("root").agg(F.min("first.doc_id").alias("class_id"))
+    linked = roots.join(leasts, "root")
+    return signed.select("doc_id", "key", "digest"), sets.join(links, "id", "left").join(linked, "id", "left").select(
+        "digest", F.col("id").alias("set"), F.col("first.doc_id").alias("copy_id"), F.coalesce("root", "id").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first.doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
-def _with_shingles(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The rows of wanted (id, digest, ...) with the shingles of their text."""
-    names = [c for c in wanted.columns if c != "digest"]
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = texts(docs, id_col, text_col)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("key"), "text")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts):
-            sets = list(shingle_sets(batch.column("text"), n))
-            kept = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist(), strict=True)) if digest(s) == d]
-            rows = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array([sets[i].tobytes() for i in kept], pa.binary())], names=[*names, "shingles"])
 
-    joined = docs.join(wanted, docs["doc_id"] == wanted["id"]).select(*names, "digest", "text")
-    return joined.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "digest") + ", shingles binary")
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """doc_id, class_id, n_links, copy_id for every row.
+
+    n_links: how many other rows have a similarity of ``threshold`` or more; class_id: the least id that is reached
+    over such links; copy_id: the least id with the same set of shingles. A text without words (null, empty) has no links and is its
+    own class. Repeated rows are copies of each other, rows of one id with different texts are different documents. Ids are
+    integers; a null id is never the least, and a class of null ids alone has a null class_id. An empty table gives no rows.
+    """
+    rows, classes = _classes(keyed(docs, id_col, text_col), **settings)
+    known = classes.drop("set", "root").withColumn("known", F.lit(True))
+    joined = rows.select("doc_id", "digest").join(unbound(known, "digest"), "digest", "left")
+    or_own = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return joined.select("doc_id", or_own("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), or_own("copy_id"))
 
 
-def digest(shingle_set: np.ndarray) -> bytes:
-    sums = [scramble(shingle_set ^ ODD[j]).sum(dtype=np.uint64) for j in (8, 9)]
-    return np.array([sums[0] + np.uint64(len(shingle_set)), sums[1]], np.uint64).tobytes()
+def _with_shingles(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows of wanted (id, first, digest, ...) with the shingles of their text."""
+    names = [c for c in wanted.columns if c not in ("first", "digest")]
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts):
+            sets = list(shingle_sets(batch.column("text"), n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
 
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first.doc_id"]) & (docs["key"] == wanted["first.key"])).select(*names, "text")
+    return joined.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in names) + ", shingles binary")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, that are the least id of their class; rows that repeat an id are one document.
+    """The rows of docs, with all their columns, less those whose class keeps another row.
 
-    Each row with a null id is a document of its own, which comes after those with ids.
+    A class keeps the row with its least id (null ids come last; of one id, the text with the least MD5 digest), and of rows that
+    repeat both id and text a single one. Rows are told apart by id and text, so two documents that share an id
+    are two. Texts without words (null, empty) are in no class and all stay. An empty table gives no rows.
     """
-    unnamed = docs.where(F.col(id_col).isNull())
-    if unnamed.head(1):
-        top = docs.agg(F.max(F.col(id_col).cast("long"))).head()[0]
-        numbered = cut(unnamed.withColumn("__named", F.lit(0 if top is None else top + 1).cast("long") + F.monotonically_increasing_id()))
-        named = docs.where(F.col(id_col).isNotNull()).withColumn("__named", F.col(id_col).cast("long")).unionByName(numbered)
-        return one_of_each(named, "__named", text_col, **settings).drop("__named")
-    classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **settings)
-    leaders = cut(classes.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__id"), "n"))
-    kept = docs.join(leaders.select("__id"), docs[id_col] == F.col("__id"), "left_semi")
-    return kept.dropDuplicates([id_col]) if leaders.where("n > 1").head(1) else kept
+    rows, classes = _classes(keyed(docs, id_col, text_col), **settings)
+    rooted = rows.join(unbound(classes.select("digest", "root"), "digest"), "digest")
+    each = cut(rooted.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    leaders = each.groupBy("root").agg(F.min(named).alias("leader"), F.sum("n").alias("rows")).where("rows > 1").select("root", "leader")
+    marked = cut(each.join(unbound(leaders, "root"), "root").select("doc_id", "key", (named == F.col("leader")).alias("leads"), "n"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+
+    def matching(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+        return rows.join(which, rows["id"].eqNullSafe(which["__id"]) & (rows["key"] == which["__key"]), how)
+
+    again = marked.where("leads AND n > 1")
+    if again.head(1):
+        dropped = marked.where("NOT leads OR n > 1")
+        kept = matching(whole, dropped, "left_anti").unionByName(matching(whole, again, "left_semi").dropDuplicates(["id", "key"]))
+    else:
+        kept = matching(whole, marked.where("NOT leads"), "left_anti")
+    return kept.select("row.*")
