@@ -2,15 +2,16 @@
 
 A suffix is looked at where it can matter: of every ``length`` bytes the gram of ``gram`` bytes with the
 smallest hash is an anchor, which any two equal strings of that length share at the same place. Anchors fall
-into initial buckets by their gram. Buckets of one are final. The others are refined by the identifiers of later
-offsets: the identifier of 2k bytes is made of those of k bytes at the place and k later, each reused for all longer
-ones, up to the identifiers of ``length`` bytes. An identifier is a hash of 128 bits instead of a rank, so that no step
-has to renumber buckets across the cluster.
-
-Refinement first asks for the whole stretch that an anchor answers for (all strings of which it is the
-smallest gram). Stretches found twice are settled by counts alone, however often they occur. What is left
-in a bucket differs somewhere inside its stretch and is compared string by string: buckets together in groups
-of bounded size, and buckets beyond ``hot`` members by counting each string's identifier across the cluster.
+into initial buckets by their gram, and buckets of one are final: those suffixes leave at once. An anchor
+answers for a stretch: all strings of which it is the smallest gram. Stretches found twice, by identifiers of 128 bits, are
+settled by counts alone, however often they occur, and go on as one.
+
+What is left in a bucket differs somewhere inside its stretch. Buckets come together in groups of bounded size, and
+a group is refined as in a suffix array (``refined``): each place points to its bucket; places in a bucket of several are sorted by
+their own bucket and that of the place as many bytes on as are already known to be equal; the pointers change in
+place, so the next pass sorts by refined buckets and twice as many bytes are known; places alone in their bucket drop out. That
+part compares bytes and is exact without hashes. Buckets beyond ``hot`` members are counted string by string across the cluster,
+by identifiers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, cut, small_batches, texts, utf8
+from pathloom.llm.common import batches, cut, texts, utf8
 from pathloom.plans.lineage import unbound
 
 #: Places are kept in the low bits of the keys; a buffer of 2^17 bytes keeps its arrays in a core's cache.
@@ -182,6 +183,39 @@ def _strings(length: int):
     return of
 
 
+def refined(data: np.ndarray, length: int, start: int = 8) -> np.ndarray:
+    """The bucket of each place of data: two places share one exactly if ``length`` (at least 8) bytes from there on are equal.
+
+    Data counts as followed by zero bytes. A bucket's number is the rank of its first member, as in a suffix array.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(length, np.uint8)])
+    grams = np.ascontiguousarray(np.ndarray((n,), "<u8", padded, strides=(1,)))
+    order = np.argsort(grams, kind="stable")
+    pointers, known = np.full(n + length, n, np.uint64), start
+    pointers[n:] += np.arange(length, dtype=np.uint64)  # beyond the end each place is a bucket of its own
+    open_ = _renumber(pointers, order, grams[order], np.zeros(n, np.uint64))
+    while known < length and len(open_):
+        step = min(known, length - known)
+        keys = pointers[open_] * np.uint64(n + length) + pointers[open_ + step]
+        order = np.argsort(keys, kind="stable")
+        open_ = _renumber(pointers, open_[order], keys[order], pointers[open_[order]])
+        known += step
+    return pointers[:n]
+
+
+def _renumber(pointers: np.ndarray, places: np.ndarray, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sets the pointers of places, sorted by key inside their bucket ``before``; the places that still share a bucket."""
+    if not len(places):
+        return places
+    change = np.concatenate([[True], keys[1:] != keys[:-1]])
+    at = np.arange(len(places))
+    first = np.maximum.accumulate(np.where(change, at, 0))
+    bucket = np.maximum.accumulate(np.where(np.concatenate([[True], before[1:] != before[:-1]]), at, 0))
+    pointers[places] = before + (first - bucket).astype(np.uint64)
+    return places[~change | ~np.append(change[1:], True)]
+
+
 def _runs(member: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Successive places of a member as (member, first, how many)."""
     order = np.lexsort((place, member))
@@ -201,7 +235,6 @@ def same_text(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_000, group: int = 1_000) -> DataFrame:
     """docs: doc_id, text and key (MD5 of the text). key, spans: the places of each text at which a string of ``length`` bytes starts that also starts elsewhere, as runs (low, span)."""
-    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
     buckets = docs.select("text").mapInArrow(_buckets(length, gram), "bucket long")
@@ -214,18 +247,20 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_00
     found = settled.select("key", F.explode("lows").alias("low"), "span")
 
     sizes = stretches.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    open_ = cut(stretches.join(sizes, "bucket").select("bucket", "members", "one.*"))
+    open_ = cut(stretches.join(unbound(sizes, "bucket"), "bucket").select("bucket", "members", "one.*"))
     stretch = F.expr(f"substring(cast(text AS binary), low + 1, span + {length - 1})")
     open_docs = same_text(docs, open_, "inner").select("bucket", "members", "key", "low", stretch.alias("stretch"))
     groups = max(1, -(-open_.count() // group))
     strings = _strings(length)
 
     def compare(table: pa.Table) -> pa.Table:
-        member, place, id1, id2 = strings(table)
-        order = np.lexsort((id2, id1))
-        same = (id1[order][1:] == id1[order][:-1]) & (id2[order][1:] == id2[order][:-1])
-        twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        owner, low, span = _runs(member[twice], place[twice])
+        data, offsets = utf8(table.column("stretch").combine_chunks())
+        sizes = np.diff(offsets) - length + 1
+        member = np.repeat(np.arange(len(sizes)), sizes)
+        inner = np.arange(len(member)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        bucket = refined(data, length)[offsets[:-1][member] + inner]
+        twice = np.flatnonzero((np.bincount(bucket.astype(np.int64), minlength=1) > 1)[bucket.astype(np.int64)])
+        owner, low, span = _runs(member[twice], (np.asarray(table.column("low"))[member] + inner)[twice])
         return pa.table({"key": table.column("key").take(pa.array(owner)), "low": pa.array(low, pa.int32()), "span": pa.array(span, pa.int32())})
 
     usual = open_docs.where(F.col("members") <= hot)
