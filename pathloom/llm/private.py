@@ -1,10 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Four kinds have a base rule: a regular expression and a test of each match. Its matches are the seeds. Every
-identifier-like token of the corpus is a mention, with two lexical patterns: its shape after the word on
-its left, and its shape before the word on its right. Patterns and the values found with them are a graph. In turns, a
-pattern's confidence in a kind is the mean score of its values, and a value that is no seed takes the greatest confidence of
-its well-supported patterns. Values that end above ``accept`` are new identifiers wherever they are mentioned.
+identifier-like stretch of the corpus is a mention: a token with digits or an at sign, or groups of digits with spaces, dots,
+brackets or hyphens between them. A mention has five lexical patterns: its shape after the word on its left, its
+shape before the word on its right, the word on its left alone, the two words on its left, and the words on both sides.
+The last three know no shape, so that they lead to identifiers written as no seed is.
+
+Patterns and the values found with them are a graph. In turns, a pattern's confidence in a kind is the mean score of its
+values, and a value that is no seed takes the greatest confidence of its well-supported patterns, among the
+kinds that its characters allow. The next turn counts it for its other patterns. Values that end above ``accept`` are new
+identifiers wherever they are mentioned.
 
 The expressions below match what the plain ones match, but with possessive parts, and begin only where a run begins
 or the last match ended: so they take linear time and no deep recursion on any text.
@@ -19,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import cut, texts
+from pathloom.plans.lineage import unbound
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -28,7 +34,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
-MENTION = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
+MENTION = r"(?<![A-Za-z0-9@._%+-])(?:[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![A-Za-z0-9@_%+])|(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+)"
+#: What a value must look like to be discovered as a kind: an address around an at sign, four numbers, or digits alone.
+PLAUSIBLE = {
+    "email": r"^[^@\s]+@[^@\s]+$",
+    "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
+    "card": r"^(?:[^0-9A-Za-z]*[0-9]){12,19}[^0-9A-Za-z]*$",
+    "phone": r"^(?:[^0-9A-Za-z]*[0-9]){7,15}[^0-9A-Za-z]*$",
+}
+MENTIONED = "struct<start:int,end:int,value:string,left:string,left2:string,right:string>"
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -87,12 +101,18 @@ def _kind_spans(text: Column, number: int, kind: str) -> Column:
     return F.filter(found, lambda s: holds(kind, s["value"]))["span"]
 
 
-def mentions(text: Column, reach: int = 40) -> Column:
-    """Identifier-like tokens: start, end, value, the words on the left and right (at most ``reach`` characters away)."""
-    left = lambda piece: F.lower(F.regexp_extract(F.right(piece, F.lit(reach)), r"(\S*)\s*$", 1))
-    right = lambda piece: F.lower(F.regexp_extract(F.left(piece, F.lit(reach)), r"^\s*(\S*)", 1))
-    return matches(text, MENTION, lambda m, end, pieces, i: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), left(F.get(pieces, i)).alias("left"), right(F.get(pieces, i + 1)).alias("right")),
-                   "struct<start:int,end:int,value:string,left:string,right:string>")
+def mentions(text: Column) -> Column:
+    """Identifier-like stretches: start, end, value, and the words around: left, left2 (before left) and right; empty where there is none."""
+    spaces = lambda c: F.translate(c, "\t\n\u000b\f\r\u00a0", "      ")
+    bare = lambda word: F.lower(F.trim(word, F.lit(".,:;!?()[]{}<>\"'")))
+
+    def around(m: Column, end: Column, pieces: Column, i: Column) -> Column:
+        after = bare(F.substring_index(F.ltrim(spaces(F.get(pieces, i + 1))), " ", 1))
+        return let(F.rtrim(spaces(F.get(pieces, i))), lambda before: let(F.substring_index(before, " ", -1), lambda last: F.struct(
+            (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), bare(last).alias("left"),
+            bare(F.substring_index(F.rtrim(F.left(before, F.length(before) - F.length(last))), " ", -1)).alias("left2"), after.alias("right"))))
+
+    return F.filter(matches(text, MENTION, around, MENTIONED), lambda m: F.length(m["value"]) >= 6)
 
 
 def written(spans: Column) -> Column:
@@ -102,42 +122,60 @@ def written(spans: Column) -> Column:
 
 
 def label(marked: DataFrame) -> DataFrame:
-    """Each mention with the kind of a base span that it overlaps, else null.
+    """Each mention with the kind of a base span that it overlaps (the one that ends last), else null.
 
     Spans and mentions of a text are swept in one order: a mention is reached after the spans that start before its end.
     """
-    spans = marked.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", F.col("s.start").alias("at"), F.lit(0).alias("late"), F.struct("s.end", "s.kind").alias("span"), F.lit(None).cast("struct<start:int,end:int,value:string,left:string,right:string>").alias("m"))
+    spans = marked.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", F.col("s.start").alias("at"), F.lit(0).alias("late"), F.struct("s.end", "s.kind").alias("span"), F.lit(None).cast(MENTIONED).alias("m"))
     tokens = marked.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", (F.col("m.end") - 1).alias("at"), F.lit(1).alias("late"), F.lit(None).cast("struct<end:int,kind:int>").alias("span"), "m")
     before = Window.partitionBy("doc_id", "key").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
     swept = spans.unionByName(tokens).withColumn("last", F.max("span").over(before)).where("m IS NOT NULL")
     return swept.select("doc_id", "key", "m.*", F.when(F.col("last.end") > F.col("m.start"), F.col("last.kind")).alias("kind"))
 
 
-def bootstrap(labelled: DataFrame, rounds: int = 3, confident: float = 0.7, support: float = 3.0, accept: float = 0.7) -> DataFrame:
-    """value, found (kind) of the values, no seeds themselves, that the patterns of the seeds lead to."""
+def patterns() -> Column:
+    """The lexical patterns of a mention, as hashes; those that would need a missing word are left out."""
     shape = F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[A-Za-z]+", "a")
-    patterns = F.explode(F.array(F.concat_ws(" ", F.lit("<"), "left", shape), F.concat_ws(" ", F.lit(">"), shape, "right")))
-    graph = cut(labelled.select(patterns.alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
-    seeds = graph.where("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("found")).withColumn("score", F.lit(1.0))
+    some = lambda name, *parts: F.when(F.length(parts[-1]) > 0, F.xxhash64(F.lit(name), *parts))
+    left, left2, right = F.col("left"), F.col("left2"), F.col("right")
+    both = F.when(F.length(left) > 0, some("both", left, right))
+    return F.array_compact(F.array(F.xxhash64(F.lit("before"), left, shape), F.xxhash64(F.lit("after"), shape, right), some("left", left), some("two", left, left2), both))
+
+
+def plausible(value: Column, kind: Column) -> Column:
+    found = F.lit(False)
+    for number, name in enumerate(KINDS):
+        found = F.when(kind == number, value.rlike(PLAUSIBLE[name])).otherwise(found)
+    return found
+
+
+def bootstrap(labelled: DataFrame, rounds: int = 3, confident: float = 0.7, support: float = 3.0, accept: float = 0.7) -> DataFrame:
+    """value, found (kind) of the values, no seeds themselves, that the patterns of the seeds lead to.
+
+    A value that is mentioned with several kinds takes the first as listed in KINDS, and of equal scores the first kind wins.
+    """
+    graph = cut(labelled.select(F.explode(patterns()).alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.min("kind").alias("kind")))
+    seeds = graph.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("found")).withColumn("score", F.lit(1.0))
     totals = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     scores = seeds
     for _ in range(rounds):
         sums = graph.select("pattern", "value").join(scores, "value").groupBy("pattern", "found").agg(F.sum("score").alias("s"))
         good = sums.join(totals, "pattern").where((F.col("s") >= support) & (F.col("s") >= confident * F.col("n"))).select("pattern", "found", (F.col("s") / F.col("n")).alias("score"))
-        reached = graph.select("pattern", "value").join(good, "pattern").groupBy("value", "found").agg(F.max("score").alias("score"))
+        reached = graph.select("pattern", "value").join(unbound(good, "pattern"), "pattern").where(plausible(F.col("value"), F.col("found"))).groupBy("value", "found").agg(F.max("score").alias("score"))
         unseen = reached.join(seeds.select("value"), "value", "left_anti").groupBy("value").agg(F.max(F.struct("score", (-F.col("found")).alias("turned"))).alias("best"))
         scores = cut(seeds.unionByName(unseen.select("value", (-F.col("best.turned")).alias("found"), "best.score")))
-    return scores.where((F.col("score") >= accept) & (F.col("score") < 1.0)).select("value", "found").join(seeds.select("value"), "value", "left_anti")
+    return scores.where(F.col("score") >= accept).select("value", "found").join(seeds.select("value"), "value", "left_anti")
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, key (a hash of the text), base and spans: the base spans and those with what the patterns discovered, by start, then kind.
 
-    Null texts are empty and have no spans. Rows that repeat id and text get the same spans. An empty table gives no rows.
+    Null texts are empty and have no spans. Rows that repeat id and text get the same spans; null ids equal each other. Context
+    words are whole, at any length and distance. An empty table gives no rows.
     """
     docs = texts(docs, id_col, text_col)
     marked = cut(docs.select("doc_id", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), mentions(F.col("text")).alias("mentions")))
-    labelled = label(marked)
+    labelled = cut(label(marked))
     found = labelled.where("kind IS NULL").join(bootstrap(labelled, **settings), "value")
     per_row = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.col("found").alias("kind"), "end")).alias("more"))
     per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "more")
@@ -165,7 +203,9 @@ def without_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Only texts with spans change; the others, null included, stay as they are. Null ids equal each other; such rows are told apart by their text.
     """
-    found = find_private(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
-    return joined.select(*(F.when(F.col("__spans").isNotNull(), redact(F.col(c), F.col("__spans"))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    found = find_private(docs, id_col, text_col).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("key")), "left")
+    text = F.col("row").getField(text_col)
+    hidden = F.when(F.col("spans").isNotNull(), redact(text, F.col("spans"))).otherwise(text)
+    return joined.select(*(hidden.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
