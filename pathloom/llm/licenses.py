@@ -3,9 +3,10 @@
 Templates and documents are sequences of five-word shingles. Both are cut into windows of the same few
 lengths, a template into windows at every place, a document into windows at every few places; a template uses the greatest
 length with which any whole copy of it must hold a document window that is one of its own. Each window has one band
-per hash function (one row per band), so equal windows always collide and windows of similarity J
-collide with the chance 1 - (1 - J)^bands: 0.998 at 0.8 with four bands. Hits are verified on the shingles around
-the window. DataFrame operations only.
+per hash function (one row per band, each with hashes of its own seed), so equal windows always collide and windows of
+similarity J collide with the chance 1 - (1 - J)^bands: 0.998 at 0.8 with four bands. A bitmap of the templates' keys, a
+literal, passes few of a document's windows on; each takes along only the shingles around it, so work grows with a text's
+length and no faster. Hits are verified on those shingles. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def bands(hashes: Column) -> Column:
 
 
 def _permuted(hashes: Column, seed: int) -> Column:
-    return F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(seed)))
+    return F.transform(hashes, lambda x: F.xxhash64(F.lit(seed), x))
 
 
 def template_keys(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -107,24 +108,58 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     fewer than five words are never found. An empty table gives no rows.
     """
     keys = template_keys(docs.sparkSession, TEMPLATES if templates is None else templates)
+    marked, longest = bitmap([r["key"] for r in keys.select("key").distinct().collect()]), keys.agg(F.max(F.size("wanted"))).first()[0] or 0
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     hashed = texts(docs, id_col, text_col).select("doc_id", shingles(F.col("text")).alias("hashes"))
-    windows = hashed.select("doc_id", "hashes", F.posexplode(bands(F.col("hashes"))).alias("place", "key"))
-    hits = windows.join(keys, "key")
-    n, m = F.size("hashes"), F.size("wanted")
-    start, before = F.lit(None).cast("int"), F.lit(0)
-    for kind, (length, step) in enumerate(WINDOWS):
-        count = F.ceil(n / step).cast("int")
-        start = F.when((F.col("kind") == kind) & (F.col("place") >= before), (F.col("place") - before) % count * step).otherwise(start)
-        before = before + count * (1 if length == 1 else len(SEEDS))
-    # A key of another kind of window at this place is a chance match; the place still lies in the text.
-    low = F.greatest(F.least(F.coalesce(start, F.lit(0)), n - 1) - m, F.lit(0))
-    near = F.slice("hashes", low + 1, 2 * m + WINDOWS[-1][0])
+    hits = hashed.select("doc_id", F.explode(candidates(F.col("hashes"), marked, longest)).alias("at")).select("doc_id", "at.*").join(keys, "key")
+    m = F.size("wanted")
+    # The window stands at ``before`` in ``near``; the template's length to either side of it counts.
+    low = F.greatest(F.col("before") - m, F.lit(0))
+    near = F.slice("near", low + 1, F.col("before") - low + m + WINDOWS[-1][0])
     held = hits.select("doc_id", "license", (F.size(F.array_intersect("wanted", near)) / m).alias("containment"))
     return held.where(F.col("containment") >= threshold).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 
+def bitmap(keys: list[int], spread: int = 256) -> tuple[Column, int]:
+    """Bits of the keys (those of the templates, which came from the driver), ``spread`` or more for each, in words of 64; and how many words."""
+    words = 1
+    while 64 * words < spread * len(keys):
+        words *= 2
+    bits = [0] * words
+    for key in keys:
+        bits[(key >> 6) & (words - 1)] |= 1 << (key & 63)
+    signed = ",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)
+    return F.split(F.lit(signed), ",").cast("array<bigint>"), words
+
+
+def candidates(hashes: Column, marked: tuple[Column, int], longest: int) -> Column:
+    """key, near (the shingles around) and before (how many of them stand before the window) of the windows whose key has its bit set.
+
+    A key may be looked up at a kind of window that it does not belong to: a chance match, which is verified like any other.
+    """
+    bits, words = marked
+
+    def isset(key: Column) -> Column:
+        word = F.get(bits, F.shiftright(key, 6).bitwiseAND(words - 1).cast("int"))
+        return F.call_function("shiftright", word, key.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    def start(place: Column, n: Column) -> Column:
+        found, before = F.lit(0), F.lit(0)
+        for length, step in WINDOWS:
+            count = F.ceil(n / step).cast("int")
+            found = F.when(place >= before, (place - before) % count * step).otherwise(found)
+            before = before + count * (1 if length == 1 else len(SEEDS))
+        return found
+
+    def around(h: Column) -> Column:
+        passed = F.filter(F.transform(bands(h), lambda key, place: F.when(isset(key), F.struct(key.alias("key"), place.alias("place")))), lambda x: x.isNotNull())
+        return F.transform(passed, lambda x: let(start(x["place"], F.size(h)), lambda at: let(F.greatest(at - longest, F.lit(0)), lambda low: F.struct(
+            x["key"].alias("key"), F.slice(h, low + 1, at - low + longest + WINDOWS[-1][0]).alias("near"), (at - low).alias("before")))))
+
+    return let(hashes, around)
+
+
 def oracle() -> str:
     """The same by brute force over whole documents."""
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEMPLATES.items()))
