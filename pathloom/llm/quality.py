@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, small_batches, texts
+from pathloom.llm.common import batches, cut, texts
 
 
 class Model(NamedTuple):
@@ -36,22 +36,31 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int | None = None) -> dict[int, list[str]]:
-    """Labelled texts for the fit, at most ``per_class`` of each label, whole unless ``most_chars`` is given.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 8_000_000) -> dict[int, list[str]]:
+    """Whole labelled texts for the fit: of each label at most ``per_class``, and as many as hold ``most_chars`` characters together.
 
-    The ids with the smallest hashes are taken, so the choice is the same at every run; held-out ids never are.
+    Rows are taken in the order of their ids' hashes, so the choice is the same at every run; a text that alone exceeds
+    ``most_chars`` is passed over. Held-out ids are never taken. An id labelled both ways counts as 0; of an id with several texts
+    the shortest counts; null ids, labels other than 0 and 1 and ids without a document teach nothing, and a null text is empty.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    keyed = known.withColumn("draw", F.xxhash64("doc_id"))
-    parts = [keyed.where(F.col("quality") == q).orderBy("draw", "doc_id").limit(per_class) for q in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("quality", "draw", "doc_id", (F.col("text") if most_chars is None else F.substring("text", 1, most_chars)).alias("text")).collect()
+    drawn = known.withColumn("draw", F.xxhash64("doc_id"))
+    parts = [drawn.where(F.col("quality") == q).orderBy("draw", "doc_id").limit(per_class) for q in (0, 1)]
+    chosen = cut(parts[0].unionByName(parts[1]))
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
+    sizes = rows.groupBy("quality", "draw", "doc_id").agg(F.min(F.struct(F.length("text").alias("n"))).alias("least")).collect()
+    taken, held = [], {0: 0, 1: 0}
+    for row in sorted(sizes, key=lambda r: (r["draw"], r["doc_id"])):
+        if held[row["quality"]] + row["least"]["n"] <= most_chars:
+            held[row["quality"]] += row["least"]["n"]
+            taken.append((row["doc_id"], row["least"]["n"]))
+    if not taken:
+        return {0: [], 1: []}
+    wanted = docs.sparkSession.createDataFrame(taken, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, n long")
+    whole = rows.join(F.broadcast(wanted), "doc_id").where(F.length("text") == F.col("n"))  # as many rows as were taken
     found: dict[int, list[str]] = {0: [], 1: []}
-    seen = set()
-    for row in sorted(rows):
-        if row["doc_id"] not in seen:
-            seen.add(row["doc_id"])
-            found[row["quality"]].append(row["text"])
+    for row in sorted(whole.groupBy("quality", "draw", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["draw"], r["doc_id"])):
+        found[row["quality"]].append(row["text"])
     return found
 
 
@@ -102,8 +111,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return float(weights[0]), float(weights[1])
 
 
-def fit(labelled: dict[int, list[str]], size: int = 112_640, chunk: int = 256, level: int = 3, pieces: int = 6) -> Model:
-    """Even texts train the dictionaries (``pieces`` evenly spread stretches of each), odd ones the curve.
+def fit(labelled: dict[int, list[str]], size: int = 112_640, chunk: int = 256, level: int = 3) -> Model:
+    """Even texts train the dictionaries, all their chunks, and odd ones the curve.
 
     Without texts of one label nothing can be told apart: the score is then the share of good labels, or
     one half without any labels.
@@ -114,11 +123,7 @@ def fit(labelled: dict[int, list[str]], size: int = 112_640, chunk: int = 256, l
         share = (n[1] + 0.5) / (n[0] + n[1] + 1)
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))), chunk, level)
 
-    def spread(text: bytes) -> list[bytes]:
-        found = chunks(text, chunk)
-        return [found[i * len(found) // pieces] for i in range(pieces)] if len(found) > pieces else found
-
-    made = {q: dictionary([p for t in found[::2] for p in spread(t)], size) for q, found in raw.items()}
+    made = {q: dictionary([p for t in found[::2] for p in chunks(t, chunk)], size) for q, found in raw.items()}
     model = Model(made[1], made[0], 0.0, 0.0, chunk, level)
     pair = compressors(model)
     held = [(difference(t, pair, chunk), q) for q, found in raw.items() for t in (found[1::2] or found)]
@@ -132,7 +137,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null text counts as empty; an empty text has difference 0 and so the curve's value there. Repeated rows are scored
     each for itself, equal texts alike; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     docs = texts(docs, id_col, text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +151,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text reaches the threshold."""
-    small_batches(docs.sparkSession)
+    """The rows of docs, with all their columns, whose text reaches the threshold.
+
+    Each row is judged for itself by its text alone, so repeated rows go or stay together; a null text is judged as an empty
+    one and stays null. An empty table gives no rows.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(model)
