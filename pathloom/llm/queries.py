@@ -15,14 +15,18 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = private.find_private(table(spark, sf_dir, "documents"))
+def private_columns(docs: DataFrame) -> DataFrame:
+    found = private.find_private(docs)
     kinds = F.col("base.kind")
     counts = [(F.size("base") - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(private.KINDS)]
     digest = F.sha2(private.written(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, private.written(F.col("spans")).alias("spans"))
 
 
+def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_columns(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -76,17 +80,17 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op3_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+            SELECT q.at, q.vec_id AS query_id, d.vec_id AS vec_id,
                    CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v)
+            FROM v q JOIN v d ON q.at <> d.at AND len(q.v) = len(d.v)
             WHERE q.vec_id % 50 = 0
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+            SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id) AS rank FROM s
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
