@@ -10,7 +10,6 @@ side. Only the very last window can be short, so padding is below one sequence i
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -19,48 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, cut, small_batches, texts
+from pathloom.llm.common import batches, cut, texts
 
-SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(json_name: str, rank_name: str | None, folder: str | None = None):
-    """A function from a text to its ids, equal to the tokenizers file's own.
-
-    Where a rank file of the same vocabulary is named, the ranks give the same ids several times as
-    fast; texts that spell out a special token still go through the tokenizers file. ``folder``: where
-    the files lie; None asks the installed ``public_tokenizers``.
-    """
-    import public_tokenizers
+def encoder(json_name: str, folder: str | None = None):
+    """A function from texts to their ids, by a tokenizers file. ``folder``: where the file lies; None asks the installed ``public_tokenizers``."""
     from tokenizers import Tokenizer
 
-    place = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
-    full = Tokenizer.from_file(str(place(json_name)))
-    slow = lambda text: full.encode(text, add_special_tokens=False).ids
-    if rank_name is None:
-        return slow
-    import tiktoken
+    if folder is None:
+        import public_tokenizers
 
-    with open(place(rank_name), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow(text) if SPECIAL in text else fast.encode_ordinary(text)
+        place = public_tokenizers.path(json_name)
+    else:
+        place = f"{folder}/{json_name}"
+    full = Tokenizer.from_file(str(place))
+    return lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
 
 
-def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", rank_name: str | None = "byte_bpe_50k.tiktoken",
-             end_id: int = 1, folder: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int = 1, folder: str | None = None) -> DataFrame:
     """doc_id, part (the partition), place (ids before the document in its partition), ids (uint16 or uint32 bytes, little-endian), width, n."""
-    small_batches(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         from pyspark import TaskContext
 
-        encode, part, place = encoder(json_name, rank_name, folder), TaskContext.get().partitionId(), 0
-        for batch in batches(parts):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encode, part, place = encoder(json_name, folder), TaskContext.get().partitionId(), 0
+        for batch in batches(parts, 1 << 20):
             ids, widths, counts, places = [], [], [], []
-            for text in batch.column("text"):
-                got = encode(text.as_py())
+            for got in encode(batch.column("text").to_pylist()):
                 got.append(end_id)
                 wide = max(got) > 0xFFFF
                 ids.append(np.array(got, "<u4" if wide else "<u2").tobytes())
