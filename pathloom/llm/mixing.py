@@ -36,16 +36,34 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     ``most`` times its own: sources are filled in the order in which they meet that limit, and what is left is
     split by weight among the others, which is where resharing the excess ends.
     """
-    one = Window.orderBy(F.col("source").isNull(), "source")
-    cycle = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(one) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.withColumn("weight", cycle.cast("double")).withColumn("limit", most * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("weight"))
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    filled = ranked.withColumn("budget", share * F.sum("source_size").over(everything)).withColumn("all_weights", F.sum("weight").over(everything))
-    level = (F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.col("all_weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    sizes, last = cut(sizes), F.col("source").isNull()
+    ranked = running(sizes, [last, F.col("source")], {"before": F.lit(1)})
+    cycle = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("before").cast("long"), F.lit(len(weights))) + 1).cast("int"))
+    limited = ranked.withColumn("weight", cycle.cast("double")).withColumn("limit", most * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("weight"))
+    filled = running(limited.drop("before"), [F.col("ratio"), last, F.col("source")], {"limits": F.col("limit"), "weights": F.col("weight")})
+    sums = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(share) * F.lit(sums[0]) - F.col("limits")) / (F.lit(sums[1]) - F.col("weights"))
     # The level rises with each source that is filled and falls after the first that isn't, so the highest is the one at which filling ends.
-    final = F.max("level").over(everything)
-    return filled.withColumn("level", level).select("key", "source", "source_size", F.least(F.col("weight") * final, F.col("limit")).alias("target"))
+    highest = F.lit(filled.agg(F.max(level)).first()[0])
+    return filled.select("key", "source", "source_size", F.least(F.col("weight") * highest, F.col("limit")).alias("target"))
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each of ``sums``, its total over the rows before, in an order that tells all rows apart.
+
+    Rows are dealt out by ranges of the order, summed within a range, and the ranges' totals (one row each) added in turn.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    ranged = cut(ranged.withColumns({f"__{n}": c.cast("double") for n, c in sums.items()}))
+    totals = ranged.groupBy("__range").agg(*(F.sum(f"__{n}").alias(f"__base_{n}") for n in sums)).collect()
+    bases, so_far = [], [0.0] * len(sums)
+    for row in sorted(totals):
+        bases.append((row[0], *so_far))
+        so_far = [a + b for a, b in zip(so_far, row[1:], strict=True)]
+    known = rows.sparkSession.createDataFrame(bases, "__range int, " + ", ".join(f"__base_{n} double" for n in sums))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0.0)) for n in sums})
+    return summed.join(F.broadcast(known), "__range").select(*rows.columns, *((F.col(f"__{n}") + F.col(f"__base_{n}")).alias(n) for n in sums))
 
 
 def source_key(source: Column) -> Column:
