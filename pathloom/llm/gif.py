@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, small_batches, texts
+from pathloom.llm.common import batches, texts
 
 FULL = 4096
 FRAME = "struct<left:int, top:int, width:int, height:int, delay_ms:int, disposal:int, transparent:int, histogram:array<bigint>>"
@@ -140,15 +140,38 @@ def encode(payload: bytes, width: int = 64, rows: int = 1024, delay_ms: int = 40
 
 
 def decode(media: bytes) -> list[Frame]:
-    """The frames of a GIF file, each with the canvas as shown while it stays."""
-    if media[:3] != b"GIF":
+    """The frames of a GIF file, each with the canvas as shown while it stays.
+
+    What is not a GIF file, or ends within its header, raises ValueError. A file that breaks off later gives the frames before, and the
+    one it breaks off in with samples of 0 for what is missing. A frame without any palette shows grey levels.
+    """
+    if media[:3] != b"GIF" or len(media) < 13:
         raise ValueError("not a GIF file")
+    frames: list[Frame] = []
+    try:
+        _read(media, frames)
+    except _Ended:
+        pass
+    return frames
+
+
+class _Ended(Exception):
+    """The file broke off."""
+
+
+def _read(media: bytes, frames: list[Frame]) -> None:
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", media, 6)
     at, shared = 13, None
+    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(-1, 3)
+
+    def need(n: int) -> None:
+        if at + n > len(media):
+            raise _Ended
 
     def palette(flags: int) -> np.ndarray:
         nonlocal at
         n = 3 << (flags & 7) + 1
+        need(n)
         found = np.frombuffer(media, np.uint8, n, at).reshape(-1, 3)
         at += n
         return found
@@ -156,7 +179,7 @@ def decode(media: bytes) -> list[Frame]:
     def blocks() -> bytes:
         nonlocal at
         found = []
-        while n := media[at]:
+        while at < len(media) and (n := media[at]):
             found.append(media[at + 1 : at + 1 + n])
             at += n + 1
         at += 1
@@ -167,19 +190,25 @@ def decode(media: bytes) -> list[Frame]:
     ground = shared[background] if shared is not None and background < len(shared) else np.zeros(3, np.uint8)
     canvas = np.empty((height, width, 3), np.uint8)
     canvas[:] = ground
-    frames, delay, disposal, transparent = [], 0, 0, -1
+    delay, disposal, transparent = 0, 0, -1
     while at < len(media) and media[at] != 0x3B:
         if media[at] == 0x21:
+            need(2)
             label, at = media[at + 1], at + 2
             body = blocks()
-            if label == 0xF9:
+            if label == 0xF9 and len(body) >= 4:
                 control, delay, index = struct.unpack("<BHB", body[:4])
                 disposal, transparent = control >> 2 & 7, index if control & 1 else -1
             continue
+        if media[at] != 0x2C:  # nothing that the format knows: go on at the next byte
+            at += 1
+            continue
+        need(11)
         left, top, w, h, flags = struct.unpack_from("<HHHHB", media, at + 1)
         at += 10
-        colours = palette(flags) if flags & 0x80 else shared
-        bits, at = media[at], at + 1
+        colours = palette(flags) if flags & 0x80 else grey if shared is None else shared
+        need(1)
+        bits, at = min(max(media[at], 1), 8), at + 1
         samples = np.zeros(w * h, np.uint8)
         got = np.frombuffer(expand(blocks(), bits, w * h), np.uint8)
         samples[: len(got)] = got
@@ -203,7 +232,6 @@ def decode(media: bytes) -> list[Frame]:
         elif disposal == 3:
             canvas = before
         delay, disposal, transparent = 0, 0, -1
-    return frames
 
 
 def histogram(canvas: np.ndarray, levels: int = 4) -> list[int]:
@@ -221,13 +249,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or empty text gives one row of zeros. Texts longer than a frame go on in further frames. Equal texts give equal
     values, also in repeated rows; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession, 256)
     docs = texts(docs, id_col, text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts):
-            for i in range(0, batch.num_rows, 64):
-                yield one(batch.slice(i, 64))
+        yield from map(one, batches(parts, 1 << 20))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, files, payloads, shown = [], [], [], []
@@ -246,7 +271,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """The columns of media_columns as sizes, digests and one feature string: frames, milliseconds, share of the commonest colour, counts by colour."""
+    """The columns of media_columns as sizes, digests and one feature string: frames, milliseconds, and pixels by colour over all frames."""
     total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 64), lambda sums, f: F.zip_with(sums, f["histogram"], lambda a, b: a + b))
     used = F.filter(F.transform(total, lambda n, i: F.concat_ws(":", i.cast("string"), n.cast("string"))), lambda s: ~s.endswith(":0"))
     millis = F.aggregate("frames", F.lit(0), lambda n, f: n + f["delay_ms"])
