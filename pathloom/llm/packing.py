@@ -23,8 +23,36 @@ from pathloom.llm.common import batches, cut, texts
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: How a byte-level vocabulary of this kind splits a text into words (fixed value: the pattern that these vocabularies were made with).
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS_KEPT = 500_000
+
+
+def unassigned() -> str:
+    """A character class of the code points that no version of Unicode known here assigns: libraries may differ in what they are."""
+    import unicodedata
+
+    ranges: list[list[int]] = []
+    for point in range(0x110000):
+        if unicodedata.category(chr(point)) == "Cn":
+            if ranges and ranges[-1][1] == point - 1:
+                ranges[-1][1] = point
+            else:
+                ranges.append([point, point])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
 def encoder(json_name: str, folder: str | None = None):
-    """A function from texts to their ids, by a tokenizers file. ``folder``: where the file lies; None asks the installed ``public_tokenizers``."""
+    """A function from texts to their ids (bytes, little-endian, and how many each id takes), by a tokenizers file.
+
+    ``folder``: where the file lies; None asks the installed ``public_tokenizers``. A byte-level file that splits by WORD encodes each
+    word for itself, so it is asked once for each different word, and the answer is kept (up to WORDS_KEPT of them, then anew). Texts with special
+    tokens or unassigned code points, and files of another kind, are encoded whole.
+    """
+    import json
+    import re
+
+    import regex
     from tokenizers import Tokenizer
 
     if folder is None:
@@ -34,7 +62,31 @@ def encoder(json_name: str, folder: str | None = None):
     else:
         place = f"{folder}/{json_name}"
     full = Tokenizer.from_file(str(place))
-    return lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
+    made = json.loads(full.to_str())
+    splits = (made["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"]["add_prefix_space"] and made["pre_tokenizer"]["use_regex"] and made["normalizer"] is None
+    width = 2 if full.get_vocab_size() <= 1 << 16 else 4
+    special, strange = [t["content"] for t in made["added_tokens"]], re.compile(unassigned()).search
+    words, known = regex.compile(WORD).findall, {}
+
+    def ids(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{width}").tobytes() for e in full.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> tuple[list[bytes], int]:
+        cut_up = [words(text) if splits and not any(t in text for t in special) else None for text in texts]
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        new = list(set().union(*filter(None, cut_up)) - known.keys())
+        known.update((word, None if strange(word) else raw) for word, raw in zip(new, ids(new), strict=True))
+        joined: list[bytes | None] = []
+        for found in cut_up:
+            try:
+                joined.append(None if found is None else b"".join(map(known.__getitem__, found)))
+            except TypeError:  # a word with an unassigned code point
+                joined.append(None)
+        rest = iter(ids([text for text, raw in zip(texts, joined, strict=True) if raw is None]))
+        return [next(rest) if raw is None else raw for raw in joined], width
+
+    return encode
 
 
 def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int = 1, folder: str | None = None) -> DataFrame:
@@ -48,15 +100,12 @@ def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode, part, place = encoder(json_name, folder), TaskContext.get().partitionId(), 0
         for batch in batches(parts, 1 << 20):
-            ids, widths, counts, places = [], [], [], []
-            for got in encode(batch.column("text").to_pylist()):
-                got.append(end_id)
-                wide = max(got) > 0xFFFF
-                ids.append(np.array(got, "<u4" if wide else "<u2").tobytes())
-                widths.append(4 if wide else 2)
-                counts.append(len(got))
-                places.append(place)
-                place += len(got)
+            found, width = encode(batch.column("text").to_pylist())
+            ids = [raw + end_id.to_bytes(width, "little") for raw in found]
+            counts = [len(raw) // width for raw in ids]
+            places = (place + np.cumsum(counts) - counts).tolist()
+            place += sum(counts)
+            widths = [width] * len(ids)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(ids, pa.binary()), pa.array(widths, pa.int32()), pa.array(counts, pa.int64())],
