@@ -26,6 +26,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: How a byte-level vocabulary of this kind splits a text into words (fixed value: the pattern that these vocabularies were made with).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS_KEPT = 500_000
+FIRST_UNASSIGNED = "\u0378"
 
 
 def unassigned() -> str:
@@ -42,12 +43,22 @@ def unassigned() -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
 
 
+def kept(name: str) -> dict:
+    """A dictionary that a worker process keeps from task to task."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("pathloom_kept", types.ModuleType("pathloom_kept"))).setdefault(name, {})
+
+
 def encoder(json_name: str, folder: str | None = None):
     """A function from texts to their ids (bytes, little-endian, and how many each id takes), by a tokenizers file.
 
     ``folder``: where the file lies; None asks the installed ``public_tokenizers``. A byte-level file that splits by WORD encodes each
-    word for itself, so it is asked once for each different word, and the answer is kept (up to WORDS_KEPT of them, then anew). Texts with special
-    tokens or unassigned code points, and files of another kind, are encoded whole.
+    word for itself, so the file is asked once for each different word and the answer is kept (up to WORDS_KEPT of them, then anew).
+    In such a file a word can hold a space as its first character alone, so a text without white space before a space is taken
+    apart at its spaces first, and what stands between them is looked up as a whole. Texts with special tokens or
+    unassigned code points, and files of another kind, are encoded whole.
     """
     import json
     import re
@@ -58,33 +69,57 @@ def encoder(json_name: str, folder: str | None = None):
     if folder is None:
         import public_tokenizers
 
-        place = public_tokenizers.path(json_name)
+        place = str(public_tokenizers.path(json_name))
     else:
         place = f"{folder}/{json_name}"
-    full = Tokenizer.from_file(str(place))
+    full = Tokenizer.from_file(place)
     made = json.loads(full.to_str())
     splits = (made["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"]["add_prefix_space"] and made["pre_tokenizer"]["use_regex"] and made["normalizer"] is None
     width = 2 if full.get_vocab_size() <= 1 << 16 else 4
-    special, strange = [t["content"] for t in made["added_tokens"]], re.compile(unassigned()).search
-    words, known = regex.compile(WORD).findall, {}
+    special, strange, doubled = [t["content"] for t in made["added_tokens"]], re.compile(unassigned()).search, re.compile(r"\s ").search
+    words, known, between = regex.compile(WORD).findall, kept(f"words {place}"), kept(f"between {place}")
 
-    def ids(texts: list[str]) -> list[bytes]:
+    def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{width}").tobytes() for e in full.encode_batch(texts, add_special_tokens=False)]
 
+    def learn(new: list[str]) -> None:
+        """The ids of words, None for one with an unassigned code point."""
+        if new:
+            found = full.encode(new, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, f"<u{width}").tobytes()
+            ends = (width * np.searchsorted(found.word_ids, np.arange(len(new)), "right")).tolist()
+            known.update((word, raw[a:b] if max(word) < FIRST_UNASSIGNED or not strange(word) else None) for word, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+
+    def joined(found: list[str]) -> bytes | None:
+        try:
+            return b"".join(map(known.__getitem__, found))
+        except TypeError:
+            return None
+
     def encode(texts: list[str]) -> tuple[list[bytes], int]:
-        cut_up = [words(text) if splits and not any(t in text for t in special) else None for text in texts]
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list(set().union(*filter(None, cut_up)) - known.keys())
-        known.update((word, None if strange(word) else raw) for word, raw in zip(new, ids(new), strict=True))
-        joined: list[bytes | None] = []
-        for found in cut_up:
+        for held in (known, between):
+            if len(held) > WORDS_KEPT:
+                held.clear()
+        result: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, text in enumerate(texts) if splits and not any(t in text for t in special)]
+        spaced = {i: texts[i].split(" ") for i in plain if "  " not in texts[i] and not doubled(texts[i])}
+        others = {i: words(texts[i]) for i in plain if i not in spaced}
+        parts = list(set().union(*(found[1:] for found in spaced.values())) - between.keys())
+        heads = {i: words(found[0]) for i, found in spaced.items()}
+        inside = [words(" " + part) for part in parts]
+        learn(list(set().union(*inside, *others.values(), *heads.values()) - known.keys()))
+        between.update(zip(parts, map(joined, inside), strict=True))
+        for i, found in spaced.items():
             try:
-                joined.append(None if found is None else b"".join(map(known.__getitem__, found)))
-            except TypeError:  # a word with an unassigned code point
-                joined.append(None)
-        rest = iter(ids([text for text, raw in zip(texts, joined, strict=True) if raw is None]))
-        return [next(rest) if raw is None else raw for raw in joined], width
+                result[i] = b"".join([joined(heads[i]), *map(between.__getitem__, found[1:])])
+            except TypeError:
+                continue
+        for i, found in others.items():
+            result[i] = joined(found)
+        rest = [i for i, raw in enumerate(result) if raw is None]
+        for i, raw in zip(rest, whole([texts[i] for i in rest]), strict=True):
+            result[i] = raw
+        return result, width
 
     return encode
 
