@@ -10,6 +10,7 @@ side. Only the very last window can be short, so padding is below one sequence i
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -23,108 +24,30 @@ from pathloom.llm.common import batches, cut, texts
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: How a byte-level vocabulary of this kind splits a text into words (fixed value: the pattern that these vocabularies were made with).
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT = 500_000
-FIRST_UNASSIGNED = "\u0378"
+def encoder(json_name: str, rank_name: str | None = None, folder: str | None = None):
+    """A function from texts to their ids, by a tokenizers file.
 
+    Where a rank file of the same vocabulary is named, the ranks give the same ids at a quarter of the time; texts that spell out a
+    special token still go through the tokenizers file. ``folder``: where the files lie; None asks the installed ``public_tokenizers``.
+    """
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-def unassigned() -> str:
-    """A character class of the code points that no version of Unicode known here assigns: libraries may differ in what they are."""
-    import unicodedata
-
-    ranges: list[list[int]] = []
-    for point in range(0x110000):
-        if unicodedata.category(chr(point)) == "Cn":
-            if ranges and ranges[-1][1] == point - 1:
-                ranges[-1][1] = point
-            else:
-                ranges.append([point, point])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
-
-
-def kept(name: str) -> dict:
-    """A dictionary that a worker process keeps from task to task."""
-    import sys
-    import types
-
-    return vars(sys.modules.setdefault("pathloom_kept", types.ModuleType("pathloom_kept"))).setdefault(name, {})
-
+    place = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
+    full = Tokenizer.from_file(str(place(json_name)))
+    whole = lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
+    if rank_name is None:
+        return whole
+    import tiktoken
 
-def encoder(json_name: str, folder: str | None = None):
-    """A function from texts to their ids (bytes, little-endian, and how many each id takes), by a tokenizers file.
+    with open(place(rank_name), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    return lambda texts: [whole([text])[0] if any(s in text for s in special) else fast.encode_ordinary(text) for text in texts]
 
-    ``folder``: where the file lies; None asks the installed ``public_tokenizers``. A byte-level file that splits by WORD encodes each
-    word for itself, so the file is asked once for each different word and the answer is kept (up to WORDS_KEPT of them, then anew).
-    In such a file a word can hold a space as its first character alone, so a text without white space before a space is taken
-    apart at its spaces first, and what stands between them is looked up as a whole. Texts with special tokens or
-    unassigned code points, and files of another kind, are encoded whole.
-    """
-    import json
-    import re
-
-    import regex
-    from tokenizers import Tokenizer
 
-    if folder is None:
-        import public_tokenizers
-
-        place = str(public_tokenizers.path(json_name))
-    else:
-        place = f"{folder}/{json_name}"
-    full = Tokenizer.from_file(place)
-    made = json.loads(full.to_str())
-    splits = (made["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"]["add_prefix_space"] and made["pre_tokenizer"]["use_regex"] and made["normalizer"] is None
-    width = 2 if full.get_vocab_size() <= 1 << 16 else 4
-    special, strange, doubled = [t["content"] for t in made["added_tokens"]], re.compile(unassigned()).search, re.compile(r"\s ").search
-    words, known, between = regex.compile(WORD).findall, kept(f"words {place}"), kept(f"between {place}")
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in full.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(new: list[str]) -> None:
-        """The ids of words, None for one with an unassigned code point."""
-        if new:
-            found = full.encode(new, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, f"<u{width}").tobytes()
-            ends = (width * np.searchsorted(found.word_ids, np.arange(len(new)), "right")).tolist()
-            known.update((word, raw[a:b] if max(word) < FIRST_UNASSIGNED or not strange(word) else None) for word, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
-
-    def joined(found: list[str]) -> bytes | None:
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except TypeError:
-            return None
-
-    def encode(texts: list[str]) -> tuple[list[bytes], int]:
-        for held in (known, between):
-            if len(held) > WORDS_KEPT:
-                held.clear()
-        result: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, text in enumerate(texts) if splits and not any(t in text for t in special)]
-        spaced = {i: texts[i].split(" ") for i in plain if "  " not in texts[i] and not doubled(texts[i])}
-        others = {i: words(texts[i]) for i in plain if i not in spaced}
-        parts = list(set().union(*(found[1:] for found in spaced.values())) - between.keys())
-        heads = {i: words(found[0]) for i, found in spaced.items()}
-        inside = [words(" " + part) for part in parts]
-        learn(list(set().union(*inside, *others.values(), *heads.values()) - known.keys()))
-        between.update(zip(parts, map(joined, inside), strict=True))
-        for i, found in spaced.items():
-            try:
-                result[i] = b"".join([joined(heads[i]), *map(between.__getitem__, found[1:])])
-            except TypeError:
-                continue
-        for i, found in others.items():
-            result[i] = joined(found)
-        rest = [i for i, raw in enumerate(result) if raw is None]
-        for i, raw in zip(rest, whole([texts[i] for i in rest]), strict=True):
-            result[i] = raw
-        return result, width
-
-    return encode
-
-
-def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int = 1, folder: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", rank_name: str | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """doc_id, part (the partition), place (ids before the document in its partition), ids (uint16 or uint32 bytes, little-endian), width, n."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +56,17 @@ def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, part, place = encoder(json_name, folder), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(json_name, rank_name, folder), TaskContext.get().partitionId(), 0
         for batch in batches(parts, 1 << 20):
-            found, width = encode(batch.column("text").to_pylist())
-            ids = [raw + end_id.to_bytes(width, "little") for raw in found]
-            counts = [len(raw) // width for raw in ids]
-            places = (place + np.cumsum(counts) - counts).tolist()
-            place += sum(counts)
-            widths = [width] * len(ids)
+            ids, widths, counts, places = [], [], [], []
+            for got in encode(batch.column("text").to_pylist()):
+                got.append(end_id)
+                wide = max(got) > 0xFFFF
+                ids.append(np.array(got, "<u4" if wide else "<u2").tobytes())
+                widths.append(4 if wide else 2)
+                counts.append(len(got))
+                places.append(place)
+                place += len(got)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(ids, pa.binary()), pa.array(widths, pa.int32()), pa.array(counts, pa.int64())],
