@@ -42,9 +42,8 @@ class Graph:
         self._ids: dict[Hashable, int] = {}
         self._edge_labels: dict[Any, Hashable] | None = None
         self._needs_columns = False
-        self._reversed = False
         if self.both_ways:
-            self.edges, self._reversed = tables.with_reverse(self.edges)
+            self.edges = tables.with_reverse(self.edges)
 
     @classmethod
     def from_edges(cls, edges: Iterable[Any], *, nodes: Iterable[Any] | None = None, spark: SparkSession | None = None) -> Graph:
@@ -78,13 +77,17 @@ class Graph:
         return cls(node_table, edge_table, **options)
 
     def set_payloads(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Puts other payload columns beside the same ids; rows are matched by id and must be as many. Topology columns are ignored."""
+        """Puts other payload columns beside the same ids. Rows are matched by id: payloads with other ids, or an id twice, are an error and
+        change nothing. Topology columns are ignored. Where edges go both ways, both take the payload of the edge itself."""
+        keep, made = ("src", "dest", tables.POSITION, "_original"), []
         for old, new, what in ((self.nodes, nodes, "node"), (self.edges, edges, "edge")):
-            if old.count() != new.count():
-                raise ValueError(f"{what} payloads must have as many rows as the graph")
-        keep = ("src", "dest", tables.POSITION, "_original")
-        self.nodes = self.nodes.select("id", tables.POSITION).join(tables.whole_ids(nodes, ("id",)).drop(*keep), "id")
-        self.edges = self.edges.select("id", *(c for c in keep if c in self.edges.columns)).join(tables.whole_ids(edges, ("id",)).drop(*keep), "id")
+            own = "_original" if "_original" in old.columns else "id"
+            payload = tables.whole_ids(new, ("id",)).drop(*keep).withColumnRenamed("id", "_payload")
+            known = old.select(F.col(own).alias("_payload")).distinct()
+            if payload.count() != known.count() or known.join(payload, "_payload", "left_anti").head(1):
+                raise ValueError(f"{what} payloads must have the ids of the graph, each once")
+            made.append(old.select("id", *(c for c in keep if c in old.columns)).join(payload, F.col(own) == F.col("_payload")).drop("_payload"))
+        self.nodes, self.edges = made
 
     @cached_property
     def node_count(self) -> int:
@@ -113,7 +116,7 @@ class Graph:
     def search(
         self, *, start_nodes: Iterable[Hashable] | DataFrame, visit: Any = None, next_state: Mapping[str, Any] | None = None, stop: Any = None, initial_state: Mapping[str, Any] | None = None,
         kernel: str | None = None, params: Mapping[str, Any] | None = None, columns: Iterable[str] | None = None, max_depth: int | None = None, max_paths: int | None = None,
-        strategy: str = "dfs", parallel: bool | str = True, intermediate_states: bool = False, progress: bool = False, max_revisits_per_node: int = 0, max_frontier: int = 50_000_000,
+        strategy: str = "dfs", parallel: bool | str = True, intermediate_states: bool = False, progress: bool = False, max_revisits_per_node: int = 0, max_frontier: int | None = None,
     ) -> SearchResult:
         """Paths from the start nodes (labels or ids, or a frame with a column ``id``) over accepted edges to where they stop.
 
@@ -142,8 +145,6 @@ class Graph:
         if not isinstance(starts, DataFrame):
             starts = [self.node_id(s) for s in starts]
         found = searching.run(self.nodes, self.edges, Traversal(**{**vars(traversal), "start_nodes": starts}))
-        if self._reversed:
-            found.df = original_edges(found.df, self.edges)
         return LazyResult(found, self._label, self._edge_label)
 
     # Topology: the *_frame methods give frames of any size, the others fetch them in order
@@ -160,9 +161,9 @@ class Graph:
         asked = self.nodes.sparkSession.createDataFrame([*enumerate(nodes)], kind)
         return asked.join(self.nodes.select("id"), "id").select("source", F.col("id").alias("node"))
 
-    def bfs_frame(self, starts: Iterable[Hashable], max_depth: int | None = None, paths: bool = False) -> DataFrame:
-        """source (the number of the start), node, depth, place; starts that are no nodes reach nothing."""
-        return topology.bfs(topology.out_links(self.edges), self._sources([self.node_id(s) for s in starts]), max_depth, paths=paths)
+    def bfs_frame(self, starts: Iterable[Hashable], max_depth: int | None = None, paths: bool = False, ordered: bool = True) -> DataFrame:
+        """source (the number of the start), node, depth and, if ordered, place; starts that are no nodes reach nothing."""
+        return topology.bfs(topology.out_links(self.edges), self._sources([self.node_id(s) for s in starts]), max_depth, paths=paths, ordered=ordered)
 
     def bfs(self, start: Hashable, max_depth: int | None = None) -> list[Hashable]:
         self._present(start)
@@ -190,7 +191,7 @@ class Graph:
         """source (the number of the pair) and path, for each pair that is connected."""
         asked = [(self.node_id(a), self.node_id(b)) for a, b in pairs]
         targets = self._sources([b for _, b in asked])
-        reached = topology.bfs(topology.out_links(self.edges), self._sources([a for a, _ in asked]), targets=targets, paths=True)
+        reached = topology.bfs(topology.out_links(self.edges), self._sources([a for a, _ in asked]), targets=targets, paths=True, ordered=False)
         return reached.join(targets, ["source", "node"], "left_semi").select("source", "path")
 
     def shortest_paths(self, pairs: Iterable[tuple[Hashable, Hashable]]) -> list[list[Hashable] | None]:
@@ -245,10 +246,3 @@ def _plain(graph: Graph) -> Graph:
     """The same object, whose edges are taken as they are: labelled tables hold their reverse edges already."""
     graph.both_ways = False
     return graph
-
-
-def original_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Paths whose edges are named as in the table that the reverse edges were made from."""
-    each = paths.select("_key", F.posexplode("edges").alias("_at", "_edge"))
-    named = each.join(edges.select(F.col("id").alias("_edge"), "_original"), "_edge").groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_original"))), lambda s: s["_original"]).alias("edges"))
-    return paths.drop("edges").join(named, "_key")

@@ -2,14 +2,19 @@
 
 A frontier row is a path: its start, its nodes and edges, its edges' positions, the payload of its last node and its state.
 A round joins the frontier to the edges that leave its last nodes, drops revisits before any payload is read, joins the
-payload of the new nodes, and evaluates visit, next_state and stop as Spark columns. Each round is one job, which
-also counts. Every returned path has a key of integers by which the depth-first or breadth-first order is restored.
+payload of the new nodes (where an expression names any), and evaluates visit, next_state and stop as Spark columns. Each round is
+one job, which also counts. A frontier of few rows is broadcast, so that the edges stay where they are. Every
+returned path has a key of integers by which the depth-first or breadth-first order is restored.
+
+A depth-first search that needs only its first paths expands the frontier in batches instead, in the order of the search: the
+children of a batch come before all that still waits, so waiting batches form a stack, and the search ends once enough
+of the paths found precede whatever is open.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 from functools import reduce
 from typing import Any
@@ -26,6 +31,9 @@ from pathloom.sources.tables import concrete, type_of
 
 LOG = logging.getLogger("pathloom.search")
 STEPS = 12
+#: Path entries that may be broadcast; paths in a batch of a depth-first search, and rounds after which it doubles.
+FEW, BATCH, DOUBLING = 100_000, 1024, 16
+Expand = Callable[[DataFrame, int, int], DataFrame]
 
 
 @dataclass
@@ -41,7 +49,7 @@ class Traversal:
     intermediate_states: bool = False
     progress: bool = False
     max_revisits_per_node: int = 0
-    max_frontier: int = 50_000_000
+    max_frontier: int | None = None
     columns: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
@@ -117,8 +125,9 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     more = {what: [c for c in traversal.columns if c in table.columns] for what, table in (("node", nodes), ("edge", edges))}
     node_columns = payload(nodes, (*more["node"], *(f for s, f in named if s in ("src", "dest"))), "node")
     edge_columns = payload(edges, (*more["edge"], *(f for s, f in named if s == "edge" and f not in ("src", "dest"))), "edge")
-    steps = edges.select(F.col("src").alias("_src"), F.col("dest").alias("_dest"), F.col("_pos").alias("_epos"), edge_columns.alias("edge"))
+    steps = edges.select(F.col("src").alias("_src"), F.col("dest").alias("_dest"), F.col("_pos").alias("_epos"), F.col("_original" if "_original" in edges.columns else "id").alias("_eid"), edge_columns.alias("edge"))
     ends = nodes.select(F.col("id").alias("_id"), node_columns.alias("dest"))
+    plain = ends.schema["dest"].dataType.names == ["id"]  # no payload: an edge knows all of its end
     scopes = ends.select(F.col("dest").alias("src"), "dest").limit(0).crossJoin(steps.select("edge").limit(0))  # schema only: no rows on either side
     kind = state_type(kernel, scopes)
     columns = compiled(kernel, with_state(scopes, {f.name: f.dataType for f in kind}), kind)
@@ -134,27 +143,14 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     if waiting != (starts.count() if isinstance(traversal.start_nodes, DataFrame) else len(traversal.start_nodes)):
         raise RuntimeError(f"unknown start node {starts.join(ends, '_id', 'left_anti').orderBy('start').first()['_id']!r}")
     stats = SearchStats(start_nodes=waiting, path_entries=waiting)
-    shape, depth, found, levels = frontier.schema, 0, [], []
-    deepest = float("inf") if traversal.max_depth is None else traversal.max_depth
-    while waiting and depth < deepest and traversal.max_paths != 0:
-        depth += 1
-        if waiting > traversal.max_frontier:
-            raise RuntimeError(f"{waiting} paths of length {depth - 1} are more than max_frontier")
-        seen = Observation()
-        level = expanded(frontier, steps, ends, columns, traversal).observe(
-            seen, *(F.sum(c.cast("bigint")).alias(n) for n, c in (("skipped", F.col("_skip")), ("accepted", F.col("_ok")), ("stopped", F.col("_stop")))), F.count(F.lit(1)).alias("all"))
-        level = cut(level if traversal.max_paths is not None else level.where("_ok"))
-        counted = {k: v or 0 for k, v in seen.get.items()}
-        add(stats, counted, depth)
-        found.append(level.where("_stop").withColumn("depth", F.lit(depth)))
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        if traversal.progress:
-            LOG.warning("level %d: %s", depth, counted)
-        waiting = counted["accepted"] - counted["stopped"]
-        if traversal.strategy == "bfs" and traversal.max_paths is not None and stats.stopped_paths >= traversal.max_paths:
-            break
-        frontier = level.where("_ok AND NOT _stop").select(*shape.fieldNames())
-    paths = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape).withColumn("depth", F.lit(0))
+    expand = lambda rows, n, depth: expanded(small(rows, n, depth), steps, None if plain else ends, columns, traversal)
+    if traversal.max_paths == 0 or not waiting:
+        found, levels = [], []
+    elif traversal.strategy == "dfs" and traversal.max_paths is not None:
+        found, levels = depth_first(frontier, waiting, expand, traversal, stats)
+    else:
+        found, levels = level_by_level(frontier, waiting, expand, traversal, stats)
+    paths = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], frontier.schema).withColumn("depth", F.lit(0))
     order = order_key(traversal.strategy)
     if traversal.max_paths is not None:
         paths = cut(paths.orderBy(order).limit(traversal.max_paths))
@@ -164,6 +160,93 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     return Found(ranked, stats, kind)
 
 
+def small(rows: DataFrame, n: int, depth: int) -> DataFrame:
+    """The rows, to be broadcast where their number and the length of their paths bound them, and no field can be long."""
+    return F.broadcast(rows) if n * (depth + 1) <= FEW and all(short(f.dataType) for f in rows.schema if f.name not in ("nodes", "edges", "key")) else rows
+
+
+def short(kind: T.DataType) -> bool:
+    """Whether values of a type take a few bytes, whatever they are."""
+    return all(short(f.dataType) for f in kind) if isinstance(kind, T.StructType) else not isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))
+
+
+def counted(level: DataFrame, keep: Column | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """A level, checkpointed, and its counters, in one job."""
+    seen = Observation()
+    level = level.observe(seen, *(F.sum(c.cast("bigint")).alias(n) for n, c in (("skipped", F.col("_skip")), ("accepted", F.col("_ok")), ("stopped", F.col("_stop")))), F.count(F.lit(1)).alias("all"))
+    level = cut(level if keep is None else level.where(keep))
+    return level, {k: v or 0 for k, v in seen.get.items()}
+
+
+def level_by_level(frontier: DataFrame, waiting: int, expand: Expand, traversal: Traversal, stats: SearchStats) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The paths that stop, and the candidates, of each level."""
+    found, levels, depth, names = [], [], 0, frontier.columns
+    while waiting and (traversal.max_depth is None or depth < traversal.max_depth):
+        if traversal.max_frontier is not None and waiting > traversal.max_frontier:
+            raise RuntimeError(f"{waiting} paths of length {depth} are more than max_frontier")
+        depth += 1
+        level, counts = counted(expand(frontier, waiting, depth), None if traversal.max_paths is not None else F.col("_ok"))
+        add(stats, counts, depth)
+        found.append(level.where("_stop").withColumn("depth", F.lit(depth)))
+        levels.append(level.withColumn("depth", F.lit(depth)))
+        if traversal.progress:
+            LOG.warning("level %d: %s", depth, counts)
+        waiting = counts["accepted"] - counts["stopped"]
+        if traversal.max_paths is not None and stats.stopped_paths >= traversal.max_paths:
+            break
+        frontier = level.where("_ok AND NOT _stop").select(*names)
+    return found, levels
+
+
+def depth_first(frontier: DataFrame, waiting: int, expand: Expand, traversal: Traversal, stats: SearchStats) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The same until max_paths paths precede all that is open.
+
+    A batch holds at least as many paths as are asked for; it doubles every DOUBLING rounds, so that a search over many paths that lead
+    nowhere takes few rounds.
+    """
+    names, found, levels = frontier.columns, [], []
+    turn = F.concat(F.array(-F.col("start")), F.transform("key", lambda x: -x))  # when a path is expanded
+    at = lambda place: F.array(*(F.lit(x).cast("bigint") for x in place))
+    stack: list[tuple[DataFrame, list[int] | None, int]] = [(frontier, None, waiting)]  # rows, those up to which are done, how many are left
+    batch, rounds = max(BATCH, traversal.max_paths), 0
+    while stack:
+        base, done, n = stack.pop()
+        rows = base if done is None else base.where(turn > at(done))
+        size = batch << rounds // DOUBLING
+        rounds += 1
+        if n > size:
+            done = rows.select(turn.alias("turn")).orderBy("turn").limit(size).agg(F.max("turn")).first()[0]
+            rows = rows.where(turn <= at(done))
+            taken = rows.count()  # starts that come twice are taken together
+            if taken < n:
+                stack.append((base, done, n - taken))
+            n = taken
+        longest = rows.agg(F.max(F.size("key"))).first()[0]
+        if traversal.max_depth is not None:
+            rows = rows.where(F.size("key") < traversal.max_depth)
+        level, counts = counted(expand(rows, n, longest))
+        level = level.withColumn("depth", F.size("key"))
+        add(stats, counts, longest + 1)
+        found.append(level.where("_stop"))
+        levels.append(level)
+        if traversal.progress:
+            LOG.warning("batch %d of %d paths: %s", rounds, n, counts)
+        more = counts["accepted"] - counts["stopped"]
+        if more:
+            stack.append((level.where("_ok AND NOT _stop").select(*names), None, more))
+        if stats.stopped_paths >= traversal.max_paths:
+            if not stack:
+                break
+            base, done, _ = stack[-1]
+            first = (base if done is None else base.where(turn > at(done))).agg(F.min(turn)).first()[0]
+            before = order_key("dfs")["parent"] < at(first)
+            if reduce(DataFrame.unionByName, found).where(before).count() >= traversal.max_paths:
+                break
+    deepest = [x.where("_ok").agg(F.max("depth").alias("d")) for x in levels]
+    stats.max_depth = max((r["d"] or 0 for r in reduce(DataFrame.unionByName, deepest).collect()), default=0)
+    return found, levels
+
+
 def start_rows(nodes: DataFrame, starts: list[Any] | DataFrame) -> DataFrame:
     """start (a number that orders the starts) and _id. A frame's starts are in the order of the node table."""
     if isinstance(starts, DataFrame):
@@ -192,15 +275,18 @@ def compiled(kernel: Kernel, frame: DataFrame, kind: T.StructType) -> dict[str,
     return {"visit": compiler.predicate(kernel.visit).column, "stop": compiler.predicate(kernel.stop).column, "child": F.struct(*child) if child else F.col("state")}
 
 
-def expanded(frontier: DataFrame, steps: DataFrame, ends: DataFrame, columns: dict[str, Column], traversal: Traversal) -> DataFrame:
-    """Every candidate edge of a frontier: whether it is skipped, accepted, stopped; and the new path."""
+def expanded(frontier: DataFrame, steps: DataFrame, ends: DataFrame | None, columns: dict[str, Column], traversal: Traversal) -> DataFrame:
+    """Every candidate edge of a frontier: whether it is skipped, accepted, stopped; and the new path. Without ends, a node is its id."""
     times = F.size(F.filter("nodes", lambda n: n == F.col("_dest")))
     candidates = frontier.join(steps, F.col("src.id") == F.col("_src")).withColumn("_skip", times > traversal.max_revisits_per_node)
-    joined = candidates.join(ends, (F.col("_dest") == F.col("_id")) & ~F.col("_skip"), "left")
+    if ends is None:
+        joined = candidates.withColumn("dest", F.struct(F.col("_dest").alias("id")))
+    else:
+        joined = candidates.join(ends, (F.col("_dest") == F.col("_id")) & ~F.col("_skip"), "left")
     visited = joined.withColumn("_ok", F.when(F.col("_skip"), F.lit(False)).otherwise(columns["visit"]))
     moved = visited.withColumn("state", F.when(F.col("_ok"), columns["child"]))
     stopped = moved.withColumn("_stop", F.when(F.col("_ok"), columns["stop"]).otherwise(F.lit(False)))
-    longer = [F.concat("nodes", F.array("_dest")).alias("nodes"), F.concat("key", F.array("_epos")).alias("key"), F.concat("edges", F.array("edge.id")).alias("edges"), F.col("dest").alias("src"), "state"]
+    longer = [F.concat("nodes", F.array("_dest")).alias("nodes"), F.concat("key", F.array("_epos")).alias("key"), F.concat("edges", F.array("_eid")).alias("edges"), F.col("dest").alias("src"), "state"]
     history = [F.concat("states", F.array("state")).alias("states")] if traversal.intermediate_states else []
     return stopped.select("start", *longer, *history, "_skip", "_ok", "_stop")
 
@@ -229,7 +315,7 @@ def add(stats: SearchStats, counted: dict[str, int], depth: int) -> None:
 def truncated(levels: list[DataFrame], paths: DataFrame, order: Column, traversal: Traversal, whole: SearchStats) -> SearchStats:
     """The counters of a run that ends with its last returned path.
 
-    Depth first: every candidate up to that path. Breadth first: whole levels; with parallel off, what was accepted counts
+    Depth first: every candidate up to that path (all of them are among the batches expanded). Breadth first: whole levels; with parallel off, what was accepted counts
     only up to that path.
     """
     if traversal.strategy == "bfs" and traversal.parallel not in (False, "off"):

@@ -12,6 +12,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.operators.components import components
 from pathloom.plans.lineage import cut
@@ -28,14 +29,18 @@ def both_links(edges: DataFrame) -> DataFrame:
     return out_links(edges).unionByName(back)
 
 
-def bfs(links: DataFrame, sources: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None, paths: bool = False) -> DataFrame:
-    """source, node, depth, place (ordered within source and depth) and path, for every node reached from (source, node) rows.
+def bfs(links: DataFrame, sources: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None, paths: bool = False, ordered: bool = True) -> DataFrame:
+    """source, node and depth, if ordered place (ordered within source and depth), and path if asked for, for every node reached from (source, node) rows.
 
-    targets: (source, node) rows; a source is done once its target is reached.
+    targets: (source, node) rows; a source is done once its target is reached. Only an order needs a sort a level. Of several
+    shortest paths the one is given that a queue over edges in table order finds: the first in the order of its edges, which
+    rows carry where paths are asked for without an order.
     """
-    trail = [F.array("node").alias("path")] if paths else []
+    by_turns = paths and not ordered
+    kept = ["source", "node", "depth", *(["place"] if ordered else []), *(["path"] if paths else []), *(["turns"] if by_turns else [])]
     # Sources of equal depth 0 are in the order of their number.
-    level = cut(sources.select("source", "node", F.lit(0).alias("depth"), F.col("source").cast("bigint").alias("place"), *trail))
+    begin = sources.select("source", "node", F.lit(0).alias("depth"), F.col("source").cast("bigint").alias("place"), F.array("node").alias("path"), F.array().cast(T.ArrayType(links.schema["turn"].dataType)).alias("turns"))
+    level = cut(begin.select(*kept))
     seen, depth = [level], 0
     while max_depth is None or depth < max_depth:
         frontier = level
@@ -43,18 +48,22 @@ def bfs(links: DataFrame, sources: DataFrame, max_depth: int | None = None, targ
             done = level.join(targets, ["source", "node"], "left_semi").select("source")
             targets = cut(targets.join(done, "source", "left_anti"))
             frontier = level.join(targets.select("source"), "source", "left_semi")
-        steps = frontier.join(links, "node").select("source", F.col("next").alias("node"), F.struct("place", "turn").alias("key"), *([F.col("path")] if paths else []))
+        key = F.struct("place", "turn") if ordered else F.concat("turns", F.array("turn")) if paths else F.lit(0)
+        steps = frontier.join(links, "node").select("source", F.col("next").alias("node"), key.alias("key"), *([F.col("path")] if paths else []))
         first = steps.groupBy("source", "node").agg(F.min("key").alias("key"), *([F.min_by("path", "key").alias("path")] if paths else []))
         new = first.join(reduce(DataFrame.unionByName, (s.select("source", "node") for s in seen)), ["source", "node"], "left_anti")
         depth += 1
-        longer = [F.concat("path", F.array("node")).alias("path")] if paths else []
-        level = cut(new.orderBy("key").select("source", "node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place"), *longer))
+        if ordered:
+            new = new.orderBy("key").withColumn("place", F.monotonically_increasing_id())
+        if paths:
+            new = new.withColumn("path", F.concat("path", F.array("node"))).withColumn("turns", F.col("key")) if by_turns else new.withColumn("path", F.concat("path", F.array("node")))
+        level = cut(new.withColumn("depth", F.lit(depth)).select(*kept))
         if not level.head(1):
             break
         seen.append(level)
         if len(seen) % 16 == 0:
             seen = [cut(reduce(DataFrame.unionByName, seen))]
-    return reduce(DataFrame.unionByName, seen)
+    return reduce(DataFrame.unionByName, seen).drop("turns")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, ends: tuple[str, ...]) -> DataFrame:
@@ -76,10 +85,11 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dfs(links: DataFrame, nodes: DataFrame, start: Column, max_depth: int | None = None) -> DataFrame:
     """node, place: pre-order; neighbours in edge order; a node counts as visited when it is taken from the stack.
 
-    Depth-first order is sequential by nature: the links among the nodes that the start reaches are walked in one task.
+    Depth-first order is sequential by nature: the links among the nodes that the start reaches are walked in one task, whose
+    memory bounds them (some 300 bytes a link: about ten million in 3 GB).
     A node met first at the depth limit is not expanded, even if a shorter way to it exists.
     """
-    reached = bfs(links, nodes.where(F.col("id") == start).select(F.lit(0).alias("source"), F.col("id").alias("node")), max_depth).select("node", "depth")
+    reached = bfs(links, nodes.where(F.col("id") == start).select(F.lit(0).alias("source"), F.col("id").alias("node")), max_depth, ordered=False).select("node", "depth")
     adjacency = reached.join(links, "node", "left").groupBy("node").agg(F.min("depth").alias("depth"), F.sort_array(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("turn", "next"))))["next"].alias("next"))
     kind = links.schema["node"].dataType.simpleString()
 

@@ -5,24 +5,32 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
+def folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, which all executors share: spark.checkpoint.dir.
 
     A session on one machine (master local) that names none gets a temporary folder; on a cluster that is an error, since
-    executors share no local folder. Spark removes the files of checkpoints that are no longer used if
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    executors share no local folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's folder.
+
+    Spark removes the files of checkpoints that are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    folder(df.sparkSession)
     return df.checkpoint()
 
 

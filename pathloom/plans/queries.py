@@ -6,6 +6,7 @@ blocks of their own); edge ids are made of keys, so nothing has to be sorted for
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.expr import col, concat_list, element, lit, when
 from pathloom.graph import DiGraph, Graph
 from pathloom.operators import topology
+from pathloom.plans.lineage import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -214,7 +216,7 @@ def region_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many steps each region is from everything it reaches: all regions in one batch."""
     graph = geography(spark, sf_dir)
-    return topology.bfs(topology.out_links(graph.edges), region_ids(spark, sf_dir)).select("source", "node", "depth")
+    return topology.bfs(topology.out_links(graph.edges), region_ids(spark, sf_dir), ordered=False).select("source", "node", "depth")
 
 
 @query(f"""WITH RECURSIVE {GEOGRAPHY}, b AS (
@@ -223,7 +225,7 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) SELECT node FROM b WHERE depth <= 2""")
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What region 0 reaches in two steps."""
-    return geography(spark, sf_dir).bfs_frame([0], max_depth=2).select("node")
+    return geography(spark, sf_dir).bfs_frame([0], max_depth=2, ordered=False).select("node")
 
 
 @query("""SELECT (r_regionkey * 8) || '>' || (n_nationkey * 8 + 1) || '>' || (c_custkey * 8 + 2) || '>' || (o_orderkey * 8 + 3) AS path
@@ -231,7 +233,7 @@ def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest path from its region to each order."""
     graph = geography(spark, sf_dir)
-    found = topology.bfs(topology.out_links(graph.edges), region_ids(spark, sf_dir), paths=True)
+    found = topology.bfs(topology.out_links(graph.edges), region_ids(spark, sf_dir), paths=True, ordered=False)
     return found.where("node % 8 = 3").select(joined("path").alias("path"))
 
 
@@ -273,26 +275,41 @@ def list_states(vectors: DataFrame) -> DataFrame:
         "thirds": text(v.list.gather_every(3, 2))})
 
 
-@query("""SELECT vec_id AS id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last, array_to_string(list_transform(v[2:3], lambda x: CAST(x AS VARCHAR)), ',') AS slice,
-        array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS arg_high,
-        CAST(len(list_distinct(v)) AS BIGINT) AS n_unique, list_contains(v, v[4]) AS held, array_to_string(list_transform(list_filter(v, lambda x: x > 40), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS big,
-        CAST(list_sum(v) AS BIGINT) AS total, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean, list_median(v) AS middle, array_to_string(list_transform(list_slice(v, 3, 9, 3), lambda x: CAST(x AS VARCHAR)), ',') AS thirds
-    FROM (SELECT vec_id, list_transform(embedding[1:9], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings)""")
-def list_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List operations on the first nine components of every vector, as integers; list_operations_whole takes all of them."""
-    return list_states(integer_vectors(spark, sf_dir, F.slice("embedding", 1, 9)))
-
-
 @query("""SELECT vec_id AS id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last, array_to_string(list_transform(v[2:3], lambda x: CAST(x AS VARCHAR)), ',') AS slice,
         array_to_string(list_transform(list_reverse(list_sort(v))[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS top, list_min(v) AS low, list_max(v) AS high, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS arg_high,
         CAST(len(list_distinct(v)) AS BIGINT) AS n_unique, list_contains(v, v[4]) AS held, array_to_string(list_transform(list_filter(v, lambda x: x > 40), lambda x: CAST(x + 1 AS VARCHAR)), ',') AS big,
         CAST(list_sum(v) AS BIGINT) AS total, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean, list_median(v) AS middle, array_to_string(list_transform(list_slice(v, 3, len(v), 3), lambda x: CAST(x AS VARCHAR)), ',') AS thirds
     FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings)""")
-def list_operations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def list_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List operations on all components of every vector, as integers."""
     return list_states(integer_vectors(spark, sf_dir, F.col("embedding")))
 
 
+TEXT = "array_to_string(list_transform({}, lambda x: CAST(x AS VARCHAR)), ',')"
+
+
+@query(f"""SELECT vec_id AS id, {TEXT.format("list_reverse(v)")} AS reversed, {TEXT.format("list_sort(list_distinct(v))")} AS uniq, {TEXT.format("list_filter(w, lambda x: x IS NOT NULL)")} AS kept,
+        len(list_filter(v, lambda x: x > 60)) > 0 AS above, len(list_filter(v, lambda x: x > -200)) = len(v) AS every, len(list_filter(w, lambda x: x IS NULL OR x > -500)) = len(w) AS known, CAST(len(list_filter(v, lambda x: x = v[1])) AS BIGINT) AS matches,
+        {TEXT.format("v[1:len(v) - 2]")} AS later, {TEXT.format("v[4:len(v)]")} AS earlier, {TEXT.format("list_sort(list_distinct(list_concat(a, b)))")} AS united, {TEXT.format("list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x))))")} AS common,
+        {TEXT.format("list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x))))")} AS without, {TEXT.format("list_sort(list_distinct(list_filter(list_concat(a, b), lambda x: NOT (list_contains(a, x) AND list_contains(b, x)))))")} AS either,
+        {TEXT.format("list_concat(list_concat(v, [CAST(NULL AS BIGINT)]), a)")} AS flat, v[2] AS second, v[1] - v[2] AS gap, CAST(list_position(v, list_min(v)) - 1 AS BIGINT) AS arg_low
+    FROM (SELECT *, list_transform(v, lambda x: CASE WHEN x % 3 <> 0 THEN x END) AS w, v[1:40] AS a, v[20:64] AS b
+          FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings))""")
+def more_list_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other list operations, on all components of every vector, with lists that hold nulls and lists of lists."""
+    vectors = integer_vectors(spark, sf_dir, F.col("embedding"))
+    nothing = F.array().cast("array<bigint>")
+    vectors = vectors.select("id", "v", F.transform("v", lambda x: F.when(x % 3 != 0, x)).alias("w"), F.slice("v", 1, 40).alias("a"), F.slice("v", 20, 45).alias("b"), F.array("v", nothing, F.slice("v", 1, 40)).alias("lists"))
+    v, w, a, b = (col(f"dest.{c}") for c in ("v", "w", "a", "b"))
+    text = lambda e: e.list.eval(element().cast("string")).list.join(",")
+    pair = v.list.to_struct(["x", "y"])
+    return one_step(vectors, {
+        "reversed": text(v.list.reverse()), "uniq": text(v.list.unique().list.sort()), "kept": text(w.list.drop_nulls()), "above": v.list.eval(element() > 60).list.any(), "every": v.list.eval(element() > -200).list.all(),
+        "known": w.list.eval(element().is_null() | (element() > -500)).list.all(), "matches": v.list.count_matches(v.list.first()), "later": text(v.list.shift(2).list.drop_nulls()), "earlier": text(v.list.shift(-3).list.drop_nulls()),
+        "united": text(a.list.set_union(b).list.sort()), "common": text(a.list.set_intersection(b).list.sort()), "without": text(a.list.set_difference(b).list.sort()), "either": text(a.list.set_symmetric_difference(b).list.sort()),
+        "flat": text(col("dest.lists").list.explode()), "second": pair.struct.field("y"), "gap": pair.struct.field("x") - pair.struct.field("y"), "arg_low": v.list.arg_min()})
+
+
 @query("""SELECT o_orderkey AS id, '{"key":' || o_orderkey || ',"next":' || (o_orderkey + 1) || ',"status":"' || o_orderstatus || '"}' AS json, o_orderstatus AS status, o_orderstatus = 'F' AS same, true AS missing FROM orders""")
 def struct_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("s"), F.col("o_orderkey").alias("k")).alias("m"))
@@ -314,6 +331,119 @@ def scalar_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "urgent": col("dest.t").str.contains("-U"), "last": col("dest.t").str.starts_with("5"), "absent": p.is_null()})
 
 
+@query("""SELECT o_orderkey AS id, o_orderkey & 29 AS lowbits, o_orderkey | 6 AS either, ends_with(o_orderpriority, 'T') AS closing, CAST(o_orderkey AS VARCHAR) || '' AS whole, CAST(o_orderkey AS DOUBLE) AS fraction, CAST(o_orderkey AS BIGINT) AS counted,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS truth, '[' || o_orderkey || ',null]' AS listed, '{"k":' || o_orderkey || '}' AS structured, NOT (o_orderkey > 5000 AND o_orderkey % 2 = 0) AS neither, p IS NULL OR p > 3 AS alternative, coalesce(p, 0) <= 3 AS at_most, p >= 3 AS at_least,
+        o_orderkey * 3 - 7 AS product, p IS NOT NULL AS present, starts_with('5-LOW', o_orderpriority) AS held
+    FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 5 + 1 AS BIGINT) END AS p FROM orders)""")
+def more_scalar_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits, casts to every kind, the other string test, logic and comparisons with null, and an alias, which changes nothing."""
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 5 + 1).alias("p"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("t"),
+        F.array(F.col("o_orderkey"), F.lit(None)).alias("l"), F.struct(F.col("o_orderkey").alias("k")).alias("m"))
+    p, k, t = col("dest.p"), col("dest.k"), col("dest.t")
+    odd = k % 2 == 0
+    return one_step(orders, {
+        "lowbits": k.bit_and(29), "either": k.bit_or(6), "closing": t.str.ends_with("T"), "whole": k.cast("string"), "fraction": k.cast("float"), "counted": k.cast("uint").cast("int"), "truth": odd.cast("bool").cast("string"),
+        "listed": col("dest.l").cast("string"), "structured": col("dest.m").cast("string"), "neither": ~((k > 5000) & odd), "alternative": p.is_null() | (p > 3), "at_most": when(p.is_null()).then(0).otherwise(p) <= 3, "at_least": p >= 3,
+        "product": (k * 3 - 7).alias("other"), "present": p.is_not_null(), "held": lit("5-LOW").str.starts_with(t)})
+
+
+@query("""WITH n AS (SELECT n_nationkey * 2 AS id, n_nationkey % 2 = 0 AS enabled, n_nationkey % 4 AS cost, n_regionkey FROM nation)
+    SELECT '1>' || a.id || '>' || b.id AS nodes, CAST(a.cost + b.cost AS BIGINT) AS hops FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.id <> b.id
+    WHERE a.enabled AND b.enabled AND a.cost < 3 AND a.cost + b.cost <= 3 AND (a.cost + b.cost >= 3 OR b.id % 10 = 0) AND NOT (a.id % 10 = 0)
+    UNION ALL SELECT '1>' || id, CAST(cost AS BIGINT) FROM n WHERE enabled AND cost <= 3 AND (cost >= 3 OR id % 10 = 0)""")
+def hop_budget_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hop_budget kernel: from a hub over enabled nations to targets, or until the costs use up the budget."""
+    nation = read(spark, sf_dir, "nation").select((F.col("n_nationkey") * 2).cast("bigint").alias("id"), "n_regionkey", (F.col("n_nationkey") % 2 == 0).alias("enabled"), (F.col("n_nationkey") % 4).cast("bigint").alias("cost"))
+    hub = spark.createDataFrame([(1,)], "id long")
+    nodes = nation.select("id", F.struct((F.col("id") % 10 == 0).alias("target")).alias("profile")).unionByName(hub.select("id", F.struct(F.lit(False).alias("target")).alias("profile")))
+    policy = F.struct(F.col("enabled").alias("enabled"), F.array(F.col("cost"), F.lit(0).cast("bigint")).alias("hop_costs")).alias("policy")
+    out = nation.select((F.col("id") + 1000).alias("id"), F.lit(1).cast("bigint").alias("src"), F.col("id").alias("dest"), policy)
+    near = nation.alias("a").join(nation.alias("b"), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.id") != F.col("b.id")))
+    across = near.select((F.col("a.id") * 100 + F.col("b.id") + 100_000).alias("id"), F.col("a.id").alias("src"), F.col("b.id").alias("dest"), F.struct(F.col("b.enabled").alias("enabled"), F.array(F.col("b.cost"), F.lit(0).cast("bigint")).alias("hop_costs")).alias("policy"))
+    found = Graph(nodes, out.unionByName(across)).search(start_nodes=[1], kernel="hop_budget", params={"max_hops": 3, "policy_col": "policy", "profile_col": "profile"}, max_depth=2).frame()
+    return found.select(joined("nodes").alias("nodes"), F.col("state.hops").alias("hops"))
+
+
+def stored(spark: SparkSession, sf_dir: str, payloads: str) -> Graph:
+    """Customers and their orders as a graph of Parquet files, endpoints called src_id and dest_id, with columns that no query names."""
+    graph, place = supply(spark, sf_dir, lines=False), f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+    graph.nodes.select("id", "kind", F.lit("unused").alias("pad")).write.parquet(f"{place}/nodes")
+    graph.edges.select("id", F.col("src").alias("src_id"), F.col("dest").alias("dest_id"), "price", F.lit("unused").alias("pad")).write.parquet(f"{place}/edges")
+    return Graph.from_parquet(f"{place}/nodes", f"{place}/edges", payloads, spark=spark)
+
+
+STORED = "SELECT (o_custkey * 4) || '>' || (o_orderkey * 4 + 1) AS nodes, o_totalprice AS price FROM orders WHERE o_totalprice > 100000.0"
+
+
+def dear_orders(graph: Graph) -> DataFrame:
+    found = graph.search(start_nodes=customers_of(graph), visit=col("edge.price") > 100_000.0, next_state={"price": col("edge.price")}, stop=col("dest.kind") == "order", initial_state={"price": 0.0}).frame()
+    return found.select(joined("nodes").alias("nodes"), F.col("state.price").alias("price"))
+
+
+@query(STORED)
+def lazy_parquet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over Parquet files, of which only the named columns are read."""
+    return dear_orders(stored(spark, sf_dir, "lazy"))
+
+
+@query(STORED)
+def eager_parquet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with both tables cached."""
+    return dear_orders(stored(spark, sf_dir, "eager"))
+
+
+@query(STORED)
+def lazy_frames_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over frames, by Graph.from_lazy, after other payloads have been put beside the same ids."""
+    graph = supply(spark, sf_dir, lines=False)
+    lazy = Graph.from_lazy(graph.nodes.drop("_pos", "kind"), graph.edges.drop("_pos", "price"))
+    lazy.set_payloads(graph.nodes.select("id", "kind"), graph.edges.select("id", "price"))
+    return dear_orders(lazy)
+
+
+def named_nations(spark: SparkSession, sf_dir: str, of: type[Graph] = Graph) -> Graph:
+    """Region and nation names as labels: tables of a few rows, fetched."""
+    rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()
+    return of.from_edges([(f"region {r['r_name']}", f"nation {r['n_name']}", {"key": r["n_nationkey"]}) for r in rows], spark=spark)
+
+
+@query("SELECT 'region ' || r_name || '>nation ' || n_name AS path, CAST(n_nationkey AS BIGINT) AS key FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0")
+def labelled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph made of Python labels with attributes; paths come back as labels."""
+    graph = named_nations(spark, sf_dir)
+    regions = [label for label in graph.labels if label.startswith("region ")]
+    found = graph.search(start_nodes=regions, visit=col("edge.key") % 2 == 0, next_state={"key": col("edge.key")}, stop=lit(True), initial_state={"key": 0}).paths
+    return spark.createDataFrame([(">".join(p.nodes), p.state["key"]) for p in found], "path string, key long")
+
+
+@query("""WITH n AS (SELECT 'region ' || r_name AS r, 'nation ' || n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT a.n AS source, b.n AS target, CASE WHEN a.n = b.n THEN a.n WHEN a.r = b.r THEN a.n || '>' || a.r || '>' || b.n END AS path FROM n a CROSS JOIN n b""")
+def shortest_path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths of all pairs of nations over edges taken either way, in one batch; null where there is none."""
+    graph = named_nations(spark, sf_dir, DiGraph)
+    nations = [label for label in graph.labels if label.startswith("nation ")]
+    pairs = [(a, b) for a in nations for b in nations]
+    found = graph.shortest_paths(pairs)
+    return spark.createDataFrame([(a, b, None if path is None else ">".join(path)) for (a, b), path in zip(pairs, found, strict=True)], "source string, target string, path string")
+
+
+@query("""WITH n AS (SELECT 'region ' || r_name AS r, 'nation ' || n_name AS n, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT r AS start, r || '>' || string_agg(n, '>' ORDER BY k) AS reached FROM n GROUP BY r UNION ALL SELECT n, n FROM n UNION ALL SELECT 'nowhere', NULL""")
+def bfs_of_many_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first order of many starts in one batch; null for a start that is no node."""
+    graph = named_nations(spark, sf_dir)
+    starts = [*graph.labels, "nowhere"]
+    found = graph.bfs_many(starts)
+    return spark.createDataFrame([(s, None if nodes is None else ">".join(nodes)) for s, nodes in zip(starts, found, strict=True)], "start string, reached string")
+
+
+@query("""SELECT CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM orders) AS BIGINT) AS edges""")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = supply(spark, sf_dir, lines=False)
+    return spark.createDataFrame([(graph.node_count, graph.edge_count)], "nodes long, edges long")
+
+
 @query("""SELECT conv_id || ':' || min(turn) AS start, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id HAVING count(*) > 1""")
 def list_state_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation from its first turn to its last, the roles gathered in a list."""

@@ -191,7 +191,7 @@ def shaped(value: Any, kind: T.DataType) -> Any:
     return float(value) if isinstance(kind, T.DoubleType) else value
 
 
-def with_reverse(edges: DataFrame) -> tuple[DataFrame, bool]:
+def with_reverse(edges: DataFrame) -> DataFrame:
     """The edges and, after all of them, the reverse of each, with ids of their own; _original names the edge itself.
 
     Integer ids go on above the greatest; string ids get the suffix ``__rev``, counted up while any id clashes.
@@ -208,4 +208,4 @@ def with_reverse(edges: DataFrame) -> tuple[DataFrame, bool]:
             suffix = f"__rev_{count}"
         top = edges.agg(F.max(POSITION)).first()[0]
         turned = turned.withColumn("id", F.concat("id", F.lit(suffix))).withColumn(POSITION, F.col(POSITION) + F.lit((top if top is not None else -1) + 1))
-    return same.unionByName(turned), True
+    return same.unionByName(turned)

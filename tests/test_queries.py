@@ -41,7 +41,7 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_list_operations_read_whole_vectors(spark):
     sizes = {r["vec_id"]: len(r["embedding"]) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
     assert max(sizes.values()) > 9
-    assert {r["id"]: r["n"] for r in QUERIES["list_operations_whole"](spark, DIR).collect()} == sizes
+    assert {r["id"]: r["n"] for r in QUERIES["list_operations"](spark, DIR).collect()} == sizes
 
 
 def test_entry_without_the_optional_parts(tmp_path):
