@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 
 from pathloom.plans.lineage import cut
 
-__all__ = ["batches", "cut", "table", "texts", "utf8"]
+__all__ = ["batches", "cut", "job", "table", "texts", "utf8"]
 
-MOST_BYTES = 8 << 20
+MOST_BYTES = 4 << 20
+ARROW_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def job(spark: SparkSession) -> SparkSession:
+    """The session of a job that runs these operators: Arrow batches of MOST_BYTES, unless the session names a size of its own.
+
+    For the functions that are jobs (the registered queries, the pipeline's stages). Operators leave the session as it is; at
+    Spark's default of 64 MB they need a few hundred MB more in each executor.
+    """
+    if spark.conf.get(ARROW_BYTES) == DEFAULT_BYTES:
+        spark.conf.set(ARROW_BYTES, str(MOST_BYTES))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -280,7 +280,7 @@ def _verify(threshold: float):
     return run
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 22, recall: float = 0.9999, block: int = 1024, node_block: int = 512, slack: float = 0.26) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 22, recall: float = 0.9999, block: int = 256, node_block: int = 400, slack: float = 0.26) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id (long), key (MD5 of the text), text. Rows (doc_id, key, digest), and classes (digest, set, copy_id, root, class_id, n_links)."""
     signed = cut(docs.mapInArrow(_signatures(n, trees * OWN_LABELS), "doc_id long, key binary, digest binary, signature binary, shingles long"))
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import chunking, gif, licenses, mixing, neardup, packing, private, quality, repeats, topk
-from pathloom.llm.common import table
+from pathloom.llm.common import job, table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(job(spark), sf_dir, "documents"))
 
 
 def private_columns(docs: DataFrame) -> DataFrame:
@@ -24,42 +24,42 @@ def private_columns(docs: DataFrame) -> DataFrame:
 
 
 def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private_columns(table(spark, sf_dir, "documents"))
+    return private_columns(table(job(spark), sf_dir, "documents"))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(job(spark), sf_dir, "embeddings"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("ids_le32")
+    return packing.pack(table(job(spark), sf_dir, "documents")).drop("ids_le32")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(job(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = repeats.remove_repeats(table(job(spark), sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(job(spark), sf_dir, "documents")
     return quality.score(docs, quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = chunking.dedup_chunks(table(spark, sf_dir, "documents"))
+    kept = chunking.dedup_chunks(table(job(spark), sf_dir, "documents"))
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.digests(gif.media_columns(table(spark, sf_dir, "documents")))
+    return gif.digests(gif.media_columns(table(job(spark), sf_dir, "documents")))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+    return neardup.jaccard_join(table(job(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -233,15 +233,19 @@ def same_text(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["__id"]) & docs["key"].eqNullSafe(renamed["__key"]), how).drop("__id", "__key")
 
 
-def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_000, group: int = 1_000) -> DataFrame:
-    """docs: doc_id, text and key (MD5 of the text). key, spans: the places of each text at which a string of ``length`` bytes starts that also starts elsewhere, as runs (low, span)."""
+def _members(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """The stretches of buckets with several members, a row for each text that holds one; what led there can be cleaned up."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
     buckets = docs.select("text").mapInArrow(_buckets(length, gram), "bucket long")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     kept = unbound(rows.join(unbound(shared, "bucket"), "bucket", "left_semi"), "bucket")
-    members = kept.groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows"))
-    members = cut(members)
+    return cut(kept.groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows")))
+
+
+def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_000, group: int = 1_000) -> DataFrame:
+    """docs: doc_id, text and key (MD5 of the text). key, spans: the places of each text at which a string of ``length`` bytes starts that also starts elsewhere, as runs (low, span)."""
+    members = _members(docs, length, gram)
     stretches = members.groupBy("bucket", "id1", "id2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "span", F.col("lows")[0].alias("low"))).alias("one"))
     settled = members.select("bucket", "id1", "id2", "key", "span", "lows").join(unbound(stretches.where("n > 1").select("bucket", "id1", "id2"), "bucket", "id1", "id2"), ["bucket", "id1", "id2"], "left_semi")
     found = settled.select("key", F.explode("lows").alias("low"), "span")
