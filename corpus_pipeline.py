@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import mixing, neardup, packing, private, quality
-from pathloom.llm.common import cut, table
+from pathloom.llm.common import cut, job, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier learns from the labelled rows that are still among docs; without any it accepts everything.
     """
+    job(spark)
     return quality.keep(docs, quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"))))
 
 
@@ -29,6 +30,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words (null, empty) are in no group and all stay; rows that repeat id and text are a group, and rows of one id
     with different texts are different documents.
     """
+    job(spark)
     return neardup.one_of_each(docs)
 
 
@@ -37,6 +39,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Texts without personal data, null included, stay as they are.
     """
+    job(spark)
     hidden = private.without_private(docs)
     return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
 
@@ -46,11 +49,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text without words has size 0 and is taken like any row of its source; rows equal in id and text are taken alike.
     """
+    job(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences, every row packed for itself; a null or empty text is its end id alone."""
+    job(spark)
     return packing.pack(docs).drop("ids_le32")
 
 
