@@ -13,7 +13,7 @@ from pathloom.plans.lineage import cut
 
 __all__ = ["batches", "cut", "job", "table", "texts", "utf8"]
 
-MOST_BYTES = 4 << 20
+MOST_BYTES = 2 << 20
 ARROW_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
