@@ -80,17 +80,17 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op3_topk": """
         WITH v AS (
-            SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.at, q.vec_id AS query_id, d.vec_id AS vec_id,
+            SELECT q.place, q.vec_id AS query_id, d.vec_id AS vec_id,
                    CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v d ON q.at <> d.at AND len(q.v) = len(d.v)
+            FROM v q JOIN v d ON q.place <> d.place AND len(q.v) = len(d.v)
             WHERE q.vec_id % 50 = 0
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id) AS rank FROM s
+            SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,

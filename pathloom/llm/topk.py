@@ -27,7 +27,7 @@ from pathloom.llm.common import batches, cut
 EXACT = float(2**53)
 #: Components and scores beyond count as this much.
 LIMIT = 2**61
-STATE = ("low", "width", "wanted", "least", "open")
+STATE = ("low", "high", "width", "wanted", "least", "open")
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -139,7 +139,7 @@ def _state(rows: list[tuple]) -> pa.RecordBatch:
     """q and the arrays of STATE of each block, as a batch."""
     columns = [pa.array([r[0] for r in rows], pa.int64())]
     columns += [pa.array([np.asarray(r[k + 1], np.int64).tobytes() for r in rows], pa.binary()) for k in range(len(STATE))]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([int(np.sum(r[5])) for r in rows], pa.int64())], names=["q", *STATE, "waiting"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array([int(np.sum(r[6])) for r in rows], pa.int64())], names=["q", *STATE, "waiting"])
 
 
 def _begin(longest: float, bins: int, k: int):
@@ -149,7 +149,7 @@ def _begin(longest: float, bins: int, k: int):
             for row in batch.to_pylist():
                 norms = np.sqrt((matrix(row, "query").reshape(row["queries"], -1) ** 2).sum(axis=1)) if row["dim"] else np.zeros(row["queries"])
                 bound = np.minimum(np.ceil(norms * longest) + 1, float(LIMIT)).astype(np.int64)
-                rows.append((row["q"], -bound, -(-(2 * bound + 1) // bins), np.full(len(bound), k), -bound, np.ones(len(bound))))
+                rows.append((row["q"], -bound, bound + 1, -(-(2 * bound + 1) // bins), np.full(len(bound), k), -bound, np.ones(len(bound))))
             if rows:
                 yield _state(rows)
 
@@ -183,9 +183,9 @@ def _counter(bins: int, k: int):
 
         for batch in batches(parts):
             for row, _, scores, _ in _scored(batch):
-                low, width, open_ = longs(row["low"]), longs(row["width"]), longs(row["open"]) > 0
+                low, high, width, open_ = (longs(row[c]) for c in ("low", "high", "width", "open"))
                 index = (scores - low) // width
-                counted = (scores >= low) & (index < bins) & open_
+                counted = (scores >= low) & (scores < high) & (open_ > 0)
                 if row["q"] not in held and len(held) == 8:
                     yield from told()
                 flat = (np.arange(len(low)) * bins + index)[counted]
@@ -198,7 +198,7 @@ def _counter(bins: int, k: int):
 def _narrower(bins: int):
     def run(state: pa.Table, told: pa.Table) -> pa.Table:
         row = state.to_pylist()[0]
-        low, width, wanted, least, open_ = (longs(row[c]).copy() for c in STATE)
+        low, high, width, wanted, least, open_ = (longs(row[c]).copy() for c in STATE)
         counts = np.zeros((len(low), bins), np.int64)
         counts[np.asarray(told.column("query")), np.asarray(told.column("bin"))] = np.asarray(told.column("n"))
         above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # rows in this bin or a higher one
@@ -213,8 +213,8 @@ def _narrower(bins: int):
                 open_[i] = 0
                 continue
             wanted[i] -= above[i, at] - counts[i, at]
-            low[i], width[i] = least[i], -(-width[i] // bins)
-        return pa.Table.from_batches([_state([(row["q"], low, width, wanted, least, open_)])])
+            low[i], high[i], width[i] = least[i], least[i] + width[i], -(-width[i] // bins)
+        return pa.Table.from_batches([_state([(row["q"], low, high, width, wanted, least, open_)])])
 
     return run
 

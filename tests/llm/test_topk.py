@@ -31,6 +31,20 @@ def test_top_k(spark):
     assert [tuple(x) for x in topk.top_k(big).orderBy("rank").collect()] == [(0, 1, 2, 76_800_000**2 + 256 * 768), (0, 2, 1, 76_800_000**2 + 256 * 512)]
 
 
+def test_top_k_narrows_exactly(spark):
+    """Many different scores, so that intervals are narrowed several times; widths that the number of bins does not divide."""
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(16)]) for i in range(400)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in whole[::50]:
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for bins in (256, 10, 2):
+        assert sorted(tuple(x) for x in topk.top_k(df, bins=bins, block=50).collect()) == sorted(want)
+
+
 def test_top_k_of_large_components(spark):
     """Components and scores beyond 2^61 count as 2^61."""
     rows = [(0, [1e12, 2.0]), (0, [1e12, 2.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (4, [1e308, 1e308])]
