@@ -10,44 +10,129 @@ side. Only the very last window can be short, so padding is below one sequence i
 
 from __future__ import annotations
 
-import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, cut, texts
+from pathloom.llm.common import batches, cut, texts, utf8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(json_name: str, rank_name: str | None = None, folder: str | None = None):
-    """A function from texts to their ids, by a tokenizers file.
+#: The contractions that byte-level vocabularies split off after an apostrophe (fixed values of their pattern:
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+).
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
+WORDS_KEPT, LONGEST_KEPT = 1_000_000, 64  # words and bytes a word: some 250 MB in a Python worker at most
 
-    Where a rank file of the same vocabulary is named, the ranks give the same ids at a quarter of the time; texts that spell out a
-    special token still go through the tokenizers file. ``folder``: where the files lie; None asks the installed ``public_tokenizers``.
-    """
-    import public_tokenizers
-    from tokenizers import Tokenizer
 
-    place = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
-    full = Tokenizer.from_file(str(place(json_name)))
-    whole = lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
-    if rank_name is None:
-        return whole
-    import tiktoken
+class Splitter:
+    """Where a byte-level tokenizers file splits texts into words, found for a whole batch at once.
 
-    with open(place(rank_name), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
-    return lambda texts: [whole([text])[0] if any(s in text for s in special) else fast.encode_ordinary(text) for text in texts]
+    What kind a character is (letter, number, white space, other) the file itself is asked, once for each character that occurs,
+    so that no table of another Unicode version comes in.
+    """
 
+    def __init__(self, split):
+        self.split, self.kinds = split, np.zeros(0x110000, np.uint8)
+
+    def kind(self, char: str) -> int:
+        return next((kind for kind, before in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(self.split(before + char)) == 1), SPACE)
+
+    def starts(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The places in body (UTF-8) at which words start; texts start at ``offsets``."""
+        lead = np.flatnonzero((body & 0xC0) != 0x80)
+        points = np.frombuffer(body.tobytes().decode().encode("utf-32-le"), "<u4")
+        kinds, n = self.kinds[points], len(points)
+        if not kinds.all():
+            for point in np.unique(points[kinds == 0]).tolist():
+                self.kinds[point] = self.kind(chr(point))
+            kinds = self.kinds[points]
+        first = np.zeros(n + 1, bool)
+        first[np.searchsorted(lead, offsets)] = True
+        space, blank, start = kinds == SPACE, points == 0x20, first[:n].copy()
+        start[1:] |= (kinds[1:] != kinds[:-1]) & ~(blank[:-1] & ~first[1:n])  # a blank belongs to the word after it
+        start[1:-1] |= space[1:-1] & space[:-2] & ~space[2:] & ~first[2:n]  # of several spaces the last stands apart, unless the text ends
+        for i in np.flatnonzero((points == 0x27) & start).tolist():
+            end = i + 1 + int(np.argmax(first[i + 1 : i + 4])) if first[i + 1 : i + 4].any() else i + 3
+            after = "".join(map(chr, points[i + 1 : end].tolist()))
+            size = 1 + next((k for k in (1, 2) if after[:k] in CONTRACTIONS and len(after) >= k), 0)
+            if size > 1:
+                start[i + 1 : i + size] = False
+                start[i + size : i + size + 1] |= kinds[i + size : i + size + 1] == LETTER
+        return lead[start]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(json_name: str, folder: str | None = None):
+    """A function from a column of texts to their ids (little-endian bytes) and to how many bytes an id takes, by a tokenizers file.
+
+    A byte-level file without a normalizer encodes each word for itself, so the file is asked once for each different word of a batch,
+    and answers are kept from batch to batch and task to task (words of up to LONGEST_KEPT bytes; beyond WORDS_KEPT it starts anew). Texts that spell out a special token, and files of another kind, are encoded whole.
+    ``folder``: where the file lies; None asks the installed ``public_tokenizers``.
+    """
+    from tokenizers import Tokenizer
 
-def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", rank_name: str | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:
+    if folder is None:
+        import public_tokenizers
+
+        place = public_tokenizers.path(json_name)
+    else:
+        place = f"{folder}/{json_name}"
+    full = Tokenizer.from_file(str(place))
+    made, width = json.loads(full.to_str()), 2 if full.get_vocab_size() <= 1 << 16 else 4
+    first = made["pre_tokenizer"] or {}
+    by_word = first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and made["normalizer"] is None and made["model"]["type"] == "BPE"
+    special, known = [t["content"] for t in made["added_tokens"]], {}
+    splitter = Splitter(full.pre_tokenizer.pre_tokenize_str) if by_word else None
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{width}").tobytes() for e in full.encode_batch(texts, add_special_tokens=False)]
+
+    def ask(words: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(words), 4096):
+            some = [word.decode() for word in words[i : i + 4096]]
+            got = full.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))) * width
+            raw, at = np.array(got.ids, f"<u{width}").tobytes(), 0
+            for end in ends.tolist():
+                yield raw[at:end]
+                at = end
+
+    def encode(column: pa.Array) -> tuple[list[bytes], int]:
+        if splitter is None:
+            return whole(column.to_pylist()), width
+        odd = np.zeros(len(column), bool)
+        for token in special:
+            odd |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        body, offsets = utf8(column)
+        starts = splitter.starts(body, offsets)
+        bounds = pa.py_buffer(np.append(starts, len(body)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        new = [word for word in different if word not in known]
+        known.update(zip(new, ask(new), strict=True))
+        taken = pa.array([known[word] for word in different], pa.large_binary()).take(words.indices)
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del known[word]
+        raw, ends = utf8(taken)
+        raw, at = raw.tobytes(), ends[np.searchsorted(starts, offsets)].tolist()
+        return [whole([column[i].as_py()])[0] if odd[i] else raw[at[i] : at[i + 1]] for i in range(len(column))], width
+
+    return encode
+
+
+def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int = 1, folder: str | None = None) -> DataFrame:
     """doc_id, part (the partition), place (ids before the document in its partition), ids (uint16 or uint32 bytes, little-endian), width, n."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,20 +141,16 @@ def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", rank_name: s
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, part, place = encoder(json_name, rank_name, folder), TaskContext.get().partitionId(), 0
-        for batch in batches(parts, 1 << 20):
-            ids, widths, counts, places = [], [], [], []
-            for got in encode(batch.column("text").to_pylist()):
-                got.append(end_id)
-                wide = max(got) > 0xFFFF
-                ids.append(np.array(got, "<u4" if wide else "<u2").tobytes())
-                widths.append(4 if wide else 2)
-                counts.append(len(got))
-                places.append(place)
-                place += len(got)
+        encode, part, place = encoder(json_name, folder), TaskContext.get().partitionId(), 0
+        for batch in batches(parts):
+            found, width = encode(batch.column("text"))
+            ids = [raw + end_id.to_bytes(width, "little") for raw in found]
+            counts = np.array([len(raw) // width for raw in ids], np.int64)
+            places = place + np.cumsum(counts) - counts
+            place += int(counts.sum())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(ids, pa.binary()), pa.array(widths, pa.int32()), pa.array(counts, pa.int64())],
+                [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * n, pa.int32()), pa.array(counts, pa.int64())],
                 names=["doc_id", "part", "place", "ids", "width", "n"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, place long, ids binary, width int, n long")

@@ -12,6 +12,7 @@ import pytest
 pytest.importorskip("pathloom.llm")
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from pathloom.llm import chunking, gif, licenses, mixing, neardup, packing, private, quality, repeats  # noqa: E402
@@ -597,9 +598,18 @@ def test_packing(docs, empty):
 
     plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     encode = lambda text: plain.encode(text, add_special_tokens=False).ids
-    several = [t or "" for _, t, *_ in corpus()] + ["<|endoftext|> x", "tabs\t\t  \n\n 'll 123 日本語 😀"]
-    assert packing.encoder("byte_bpe_50k.json")(several) == list(map(encode, several))
-    assert packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")(several) == list(map(encode, several))
+    r = random.Random(15)
+    points = [chr(r.choice([r.randrange(0x20, 0x300), r.randrange(0xD800), r.randrange(0xE000, 0x110000), 0x20, 0x1F, 0x85, 0xA0, 0x27])) for _ in range(30_000)]
+    parts = ["'", "s", "t", "re", "ve", "ll", "m", "d", " ", "  ", "\n", "a", "1", "!", "é", "S", "\t", "ſ", "’", "<|endoftext|>"]
+    several = [t or "" for _, t, *_ in corpus()] + ["tabs\t\t  \n\n 'll 123 日本語 😀", "y" * 500]
+    several += ["".join(points[i : i + 60]) for i in range(0, len(points), 60)] + [f"a{c}1{c}!{c}{c} {c}b  {c}" for c in points[:5000]]
+    several += ["".join(r.choices(parts, k=r.randrange(14))) for _ in range(20_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole_texts = Tokenizer.from_file(str(public_tokenizers.path(name)))
+        for some in (several[i : i + 700] for i in range(0, len(several), 700)):
+            found, width = packing.encoder(name)(pa.array(some))
+            assert [np.frombuffer(raw, f"<u{width}").tolist() for raw in found] == [e.ids for e in whole_texts.encode_batch(some, add_special_tokens=False)]
+    assert packing.encoder("byte_bpe_50k.json")(pa.array([], pa.string()))[0] == []
     pieces = packing.pack(docs, length=100).collect()
     by_place = sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))
     at = 0
