@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -71,11 +72,11 @@ class Splitter:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(json_name: str, folder: str | None = None):
+def encoder(json_name: str, folder: str | None = None, job: str = ""):
     """A function from a column of texts to their ids (little-endian bytes) and to how many bytes an id takes, by a tokenizers file.
 
     A byte-level file without a normalizer encodes each word for itself, so the file is asked once for each different word of a batch,
-    and answers are kept from batch to batch and task to task (words of up to LONGEST_KEPT bytes; beyond WORDS_KEPT it starts anew). Texts that spell out a special token, and files of another kind, are encoded whole.
+    and answers are kept from batch to batch and, in a Python worker, from task to task of one ``job``, never for the next (words of up to LONGEST_KEPT bytes; beyond WORDS_KEPT it starts anew). Texts that spell out a special token, and files of another kind, are encoded whole.
     ``folder``: where the file lies; None asks the installed ``public_tokenizers``.
     """
     from tokenizers import Tokenizer
@@ -135,13 +136,15 @@ def encoder(json_name: str, folder: str | None = None):
 def tokenize(docs: DataFrame, json_name: str = "byte_bpe_50k.json", end_id: int = 1, folder: str | None = None) -> DataFrame:
     """doc_id, part (the partition), place (ids before the document in its partition), ids (uint16 or uint32 bytes, little-endian), width, n."""
 
+    job = uuid.uuid4().hex
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, part, place = encoder(json_name, folder), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(json_name, folder, job), TaskContext.get().partitionId(), 0
         for batch in batches(parts):
             found, width = encode(batch.column("text"))
             ids = [raw + end_id.to_bytes(width, "little") for raw in found]
