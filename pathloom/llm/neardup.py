@@ -15,7 +15,8 @@ pairs exactly at the threshold are found with that chance whatever the data.
 Nodes only propose: pairs whose whole signatures agree far less often than the threshold asks (by
 several standard deviations) are left out, and what remains is joined to groups. Within a group the
 Jaccard similarity of every pair is computed exactly. Nodes and groups beyond ``block`` rows are dealt out as pairs of
-blocks. A task returns how many links each row has, and a forest of links that spans them, never all pairs.
+blocks. A task returns how many links each row has, and links of rows to the least row that is reached, never all pairs; a pair of
+blocks only links what hangs together inside each of them.
 """
 
 from __future__ import annotations
@@ -125,24 +126,25 @@ def _signatures(n: int, labels: int):
     return run
 
 
-class Forest:
-    """Union-find over positions; keeps the links that joined two trees."""
+class Trees:
+    """Union-find over positions: each one's root is the least position that is linked to it."""
 
     def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-        self.links: list[tuple[int, int]] = []
+        self.root = np.arange(n)
 
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+    def join(self, a: int, others: np.ndarray) -> None:
+        roots = np.unique(self.root[np.append(others, a)])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
 
-    def join(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+
+def new_links(within: Trees, whole: Trees, across: bool) -> np.ndarray:
+    """The positions to link to their root: all that are no root or, in a pair of blocks, roots of one block alone.
+
+    What is linked inside a block the task of that block says, so a pair of blocks that hang together adds one link.
+    """
+    place = np.arange(len(whole.root))
+    return np.flatnonzero((whole.root != place) & ((within.root == place) | (not across)))
 
 
 def groups(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -187,7 +189,7 @@ def strata(threshold: float) -> list[float]:
 
 
 def _propose(trees: int, depth: int, least: int, threshold: float):
-    """Links (a, b) within nodes, and rows without a link that count pairs: stratum, once, twice, all."""
+    """Links (a, b) to the least id that nodes hold together, and rows without a link that count pairs: stratum, once, twice, all."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -195,26 +197,28 @@ def _propose(trees: int, depth: int, least: int, threshold: float):
         bounds = np.array([b * labels for b in strata(threshold)])
         counts = np.zeros((len(bounds), 3))
         for table in groups(parts, ["tree", "node", "first", "second"]):
+            table = table.sort_by("id")
             ids, own = np.asarray(table.column("id")), np.asarray(table.column("own"))
             signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), labels)
             across = table.column("first")[0] != table.column("second")[0]
-            forest = Forest(len(ids))
+            within, whole = Trees(len(ids)), Trees(len(ids))
             for i in range(len(ids) - 1):
                 equal = signatures[i + 1 :] == signatures[i]
                 agree = equal.sum(axis=1)
+                whole.join(i, np.flatnonzero(agree >= least) + i + 1)
                 if across:
-                    agree[own[i + 1 :] == own[i]] = -1
-                for j in np.flatnonzero(agree >= least).tolist():
-                    forest.join(i, i + 1 + j)
+                    same = own[i + 1 :] == own[i]
+                    within.join(i, np.flatnonzero((agree >= least) & same) + i + 1)
+                    agree[same] = -1
                 linked = np.flatnonzero(agree >= bounds[0])
                 if len(linked):
                     held = equal[linked][:, places].all(axis=2).sum(axis=1)  # tries that hold the pair together
                     stratum = np.searchsorted(bounds, agree[linked], "right") - 1
                     for k, chosen in enumerate((held == 1, held == 2, held > 0)):
                         counts[:, k] += np.bincount(stratum[chosen], weights=1 / held[chosen], minlength=len(bounds))
-            for a, b in forest.links:
-                left.append(ids[a])
-                right.append(ids[b])
+            linked = new_links(within, whole, across)
+            left += ids[linked].tolist()
+            right += ids[whole.root[linked]].tolist()
         n, m = len(left), len(bounds)
         yield pa.RecordBatch.from_arrays(
             [pa.array(left + [None] * m, pa.int64()), pa.array(right + [None] * m, pa.int64()), pa.array([None] * n + list(range(m)), pa.int32()), *(pa.array([None] * n + counts[:, k].tolist(), pa.float64()) for k in range(3))],
@@ -258,7 +262,7 @@ def _verify(threshold: float):
             flat = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)[1]
             starts = np.cumsum(sizes) - sizes
             marks = np.zeros(int(flat.max()) + 1, np.int32)
-            links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+            links, within, whole = np.zeros(len(ids), np.int64), Trees(len(ids)), Trees(len(ids))
             for i in range(len(ids) - 1):
                 mine = flat[starts[i] : starts[i] + sizes[i]]
                 marks[mine] = 1
@@ -266,16 +270,18 @@ def _verify(threshold: float):
                 marks[mine] = 0
                 union = sizes[i] + sizes[i + 1 :] - shared
                 linked = shared >= threshold * union
+                whole.join(i, np.flatnonzero(linked) + i + 1)
                 if across:
-                    linked &= own[i + 1 :] != own[i]
+                    same = own[i + 1 :] == own[i]
+                    within.join(i, np.flatnonzero(linked & same) + i + 1)
+                    linked &= ~same
                 found = np.flatnonzero(linked) + i + 1
                 links[i] += copies[found].sum()
                 links[found] += copies[i]
-                for j in found.tolist():
-                    forest.join(i, j)
-            some = np.flatnonzero(links)
-            least = {i: forest.root(i) for i in some.tolist()}
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(links[some], pa.int64()), pa.array(ids[[least[i] for i in some.tolist()]] if len(some) else [], pa.int64())], names=["id", "links", "other"])
+            joined = np.zeros(len(ids), bool)
+            joined[new_links(within, whole, across)] = True
+            some = np.flatnonzero((links > 0) | joined)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(links[some], pa.int64()), pa.array(ids[whole.root[some]], pa.int64(), mask=~joined[some])], names=["id", "links", "other"])
 
     return run
 

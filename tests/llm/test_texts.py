@@ -345,6 +345,42 @@ def test_near_duplicates(docs, empty):
     assert all(r["n_links"] <= exact[r["doc_id"]][2] for r in few.collect())
 
 
+def test_near_duplicates_link_blocks_once():
+    """Links of one large group grow with its rows and its pairs of blocks, not with rows times blocks; every tree says the same."""
+    own = [i % 6 for i in range(60)]
+    sets = [np.arange(40, dtype=np.uint64)] * 60 + [np.arange(50, 70, dtype=np.uint64)[a:b] for a, b in ((0, 17), (0, 20), (3, 20))]
+    own += [0, 1, 0]  # the two of block 0 are alike only by way of that of block 1
+
+    def dealt(columns, **fixed):
+        for f in range(6):
+            for t in range(f, 6):
+                rows = [i for i in reversed(range(63)) if own[i] in (f, t)]
+                more = {"id": rows, "own": [own[i] for i in rows], "first": [f] * len(rows), "second": [t] * len(rows)}
+                yield pa.RecordBatch.from_pydict({**{k: [v] * len(rows) for k, v in fixed.items()}, **more, **{k: [v[i] for i in rows] for k, v in columns.items()}})
+
+    def reached(links):
+        root = list(range(63))
+        for a, b in links * 63:
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = [0] * 60 + [60] * 3
+    checked = pa.Table.from_batches(neardup._verify(0.8)(dealt({"shingles": [x.tobytes() for x in sets], "copies": [1] * 63}, root=0))).to_pylist()
+    links = [(r["id"], r["other"]) for r in checked if r["other"] is not None]
+    assert reached(links) == want and len(links) <= 62 + 15 + 2
+    count = collections.Counter()
+    for r in checked:
+        count[r["id"]] += r["links"]
+    assert [count[i] for i in range(63)] == [59] * 60 + [1, 2, 1]
+    signatures = [np.full(8, i // 60, "<u2") for i in range(63)]
+    signatures[60][:2], signatures[62][6:] = 7, 8
+    found = []
+    for tree in range(2):
+        table = pa.Table.from_batches(neardup._propose(2, 4, 6, 0.8)(dealt({"signature": [x.tobytes() for x in signatures]}, tree=tree, node=5)))
+        found.append([(r["a"], r["b"]) for r in table.to_pylist() if r["a"] is not None])
+    assert found[0] == found[1] and reached(found[0]) == want and len(found[0]) <= 62 + 15 + 2
+
+
 def test_one_of_each_tells_texts_apart(spark):
     """Rows of one id with different texts are different documents; columns of the table may bear any name."""
     r = random.Random(21)
