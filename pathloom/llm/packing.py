@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches, cut, texts, utf8
+from pathloom.llm.common import batches, cut, give_back, texts, utf8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -76,7 +76,7 @@ def encoder(json_name: str, folder: str | None = None, job: str = ""):
     """A function from a column of texts to their ids (little-endian bytes) and to how many bytes an id takes, by a tokenizers file.
 
     A byte-level file without a normalizer encodes each word for itself, so the file is asked once for each different word of a batch,
-    and answers are kept from batch to batch and, in a Python worker, from task to task of one ``job``, never for the next (words of up to LONGEST_KEPT bytes; beyond WORDS_KEPT it starts anew). Texts that spell out a special token, and files of another kind, are encoded whole.
+    and answers are kept from batch to batch and, in a Python worker, from task to task of one ``job``, until its second pass (words of up to LONGEST_KEPT bytes; beyond WORDS_KEPT it starts anew). Texts that spell out a special token, and files of another kind, are encoded whole.
     ``folder``: where the file lies; None asks the installed ``public_tokenizers``.
     """
     from tokenizers import Tokenizer
@@ -177,6 +177,9 @@ def pack(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col:
 
 def _cutter(bases: dict[int, int], length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if encoder.cache_info().currsize:  # the first pass is over, and Python workers outlive it
+            encoder.cache_clear()
+            give_back()
         for batch in batches(parts):
             rows, starts, sizes, crcs, sequences, offsets, pieces = [], [], [], [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("part", "place", "ids", "width", "n"))

@@ -664,6 +664,14 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_keeps_no_words_in_its_second_pass():
+    """Python workers live on, so what the first pass kept there would stand beside every later stage."""
+    assert len(packing.encoder("byte_bpe_50k.json")(pa.array(["some words to keep"]))[0]) == 1
+    assert packing.encoder.cache_info().currsize == 1
+    assert list(packing._cutter({}, 8)(iter([]))) == []
+    assert packing.encoder.cache_info().currsize == 0
+
+
 def test_quality(spark, docs, empty):
     d = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
