@@ -234,13 +234,14 @@ def same_text(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 
 def _members(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The stretches of buckets with several members, a row for each text that holds one; what led there can be cleaned up."""
+    """The stretches of buckets with several members, a row for each text that holds one and each set of places; what led there can be cleaned up."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_stretches(length, gram), f"bucket long, id1 long, id2 long, key binary, doc_id {id_type}, n long, span int, lows array<int>")
     buckets = docs.select("text").mapInArrow(_buckets(length, gram), "bucket long")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     kept = unbound(rows.join(unbound(shared, "bucket"), "bucket", "left_semi"), "bucket")
-    return cut(kept.groupBy("bucket", "id1", "id2", "key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span"), F.min("lows").alias("lows")))
+    # Buffers end at any place of a long text: it comes once for each buffer that holds the stretch, each time with other places.
+    return cut(kept.groupBy("bucket", "id1", "id2", "key", "lows").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("span").alias("span")))
 
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 5_000, group: int = 1_000) -> DataFrame:

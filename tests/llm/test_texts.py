@@ -93,6 +93,16 @@ def test_repeats_of_200_bytes(spark):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "kept") == sorted(want, key=repr)
 
 
+def test_repeats_of_one_text_in_several_buffers(spark):
+    """A stretch that comes in two buffers of a long text goes at both places; so does one of a run longer than a buffer."""
+    filler = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage, text = "p" * 150 + filler("q", 100) + "r" * 150, "a" * 140_000
+    rows = [(1, text), (2, filler("x", 9_000) + "!" + passage + "?" + filler("y", 30_000) + "#" + passage + "%" + filler("z", 9_000)), (3, filler("u", 30_000))]
+    assert all(len(t) > repeats.BUFFER for _, t in rows)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(text), 1), 2: (2 * len(passage), 2), 3: (0, 0)}
+
+
 def test_bucket_pointers():
     r = random.Random(7)
     for n, letters, length in ((1, 1, 8), (40, 1, 11), (300, 2, 13), (1000, 3, 40), (2000, 4, 200), (500, 2, 64)):
