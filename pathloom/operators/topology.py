@@ -6,10 +6,13 @@ in its level is its parent's place, then the edge's position, so the order is th
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,29 +88,74 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dfs(links: DataFrame, nodes: DataFrame, start: Column, max_depth: int | None = None) -> DataFrame:
     """node, place: pre-order; neighbours in edge order; a node counts as visited when it is taken from the stack.
 
-    Depth-first order is sequential by nature: the links among the nodes that the start reaches are walked in one task, whose
-    memory bounds them (some 300 bytes a link: about ten million in 3 GB).
+    Where what the start reaches is a tree (parallel edges count as one), the order is that of the ways to the nodes: a sort across
+    the cluster, of rows as long as their depth. Else depth-first order is sequential by nature: the links among the nodes that the start
+    reaches are walked in one task, in flat arrays whose memory is some dozens of bytes a link.
     A node met first at the depth limit is not expanded, even if a shorter way to it exists.
     """
-    reached = bfs(links, nodes.where(F.col("id") == start).select(F.lit(0).alias("source"), F.col("id").alias("node")), max_depth, ordered=False).select("node", "depth")
-    adjacency = reached.join(links, "node", "left").groupBy("node").agg(F.min("depth").alias("depth"), F.sort_array(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("turn", "next"))))["next"].alias("next"))
-    kind = links.schema["node"].dataType.simpleString()
-
-    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after, first = {}, None
+    reached = cut(bfs(links, nodes.where(F.col("id") == start).select(F.lit(0).alias("source"), F.col("id").alias("node")), max_depth, ordered=False).select("node", "depth"))
+    expanded = reached if max_depth is None else reached.where(F.col("depth") < max_depth)
+    inner = cut(expanded.join(links, "node").groupBy("node", "next").agg(F.min("turn").alias("turn")))
+    seen = reached.agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest")).first()
+    if seen["n"] and inner.count() == seen["n"] - 1:
+        return tree_order(reached.where("depth = 0").select("node"), inner, seen["deepest"])
+    following = F.sort_array(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("turn", "next"))))["next"]
+    adjacency = cut(reached.join(inner, "node", "left").groupBy("node").agg(F.min("depth").alias("depth"), following.alias("next")))
+    return adjacency.coalesce(1).mapInArrow(walked(max_depth), f"node {links.schema['node'].dataType.simpleString()}, place bigint")
+
+
+def tree_order(root: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """node, place: pre-order of a tree, whose links are (node, next, turn), by the turns on the way to each node."""
+    level = root.withColumn("way", F.array().cast(T.ArrayType(links.schema["turn"].dataType)))
+    levels = [level]
+    for _ in range(depth):
+        level = cut(level.join(links, "node").select(F.col("next").alias("node"), F.concat("way", F.array("turn")).alias("way")))
+        levels.append(level)
+    sorted_ = cut(reduce(DataFrame.unionByName, levels).orderBy("way").select("node", F.monotonically_increasing_id().alias("at")))
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # the sorted partition, and the row in it
+    before, offsets = 0, []
+    for r in sorted_.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["count"]
+    begin = root.sparkSession.createDataFrame(offsets, "part long, before long")
+    return sorted_.withColumn("part", part).join(F.broadcast(begin), "part").select("node", (F.col("before") + inside).alias("place"))
+
+
+def walked(max_depth: int | None):
+    """Depth-first order of all (node, depth, next) rows, from the one of depth 0."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lists, sizes, first, n = [], [], [], None, 0
         for part in parts:
-            for node, depth, following in zip(*(part.column(c).to_pylist() for c in ("node", "depth", "next")), strict=True):
-                after[node] = following
-                first = node if depth == 0 else first
-        stack, seen, order = [(first, 0)] if first is not None else [], set(), []
+            held.append(part.column("node"))
+            lists.append(part.column("next").flatten())
+            sizes.append(pc.fill_null(pc.list_value_length(part.column("next")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = np.flatnonzero(part.column("depth").to_numpy(zero_copy_only=False) == 0)
+            first = n + int(start[0]) if len(start) else first
+            n += part.num_rows
+        if first is None:
+            return
+        node = pa.concat_arrays(held)
+        # What lies beyond the depth limit is no row here, and is never asked for.
+        after = memoryview(pc.fill_null(pc.index_in(pa.chunked_array(lists), value_set=node), -1).to_numpy().astype(np.int32))
+        del held, lists
+        ends = np.cumsum(np.concatenate(sizes))
+        at, ends = memoryview(ends - np.concatenate(sizes)), memoryview(ends)
+        taken, order, stack = bytearray(n), array("i", [first]), array("i", [first])
+        taken[first] = 1
         while stack:
-            node, depth = stack.pop()
-            if node in seen:
+            top = stack[-1]
+            if at[top] == ends[top] or max_depth is not None and len(stack) > max_depth:
+                stack.pop()
                 continue
-            seen.add(node)
-            order.append(node)
-            if max_depth is None or depth < max_depth:
-                stack += [(n, depth + 1) for n in reversed(after.get(node, ())) if n not in seen]
-        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64() if kind == "bigint" else pa.string()), pa.array(range(len(order)), pa.int64())], names=["node", "place"])
-
-    return adjacency.coalesce(1).mapInArrow(walk, f"node {kind}, place bigint")
+            found = after[at[top]]
+            at[top] += 1
+            if not taken[found]:
+                taken[found] = 1
+                order.append(found)
+                stack.append(found)
+        for low in range(0, len(order), 1 << 16):
+            some = np.array(order[low : low + (1 << 16)], np.int32)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(np.arange(low, low + len(some)), pa.int64())], names=["node", "place"])
+
+    return run
