@@ -1,9 +1,11 @@
 """Stateful path search as a loop of joins, one level of path length a round.
 
 A frontier row is a path: its start, its nodes and edges, its edges' positions, the payload of its last node and its state.
-A round joins the frontier to the edges that leave its last nodes, drops revisits before any payload is read, joins the
-payload of the new nodes (where an expression names any), and evaluates visit, next_state and stop as Spark columns. Each round is
-one job, which also counts. A frontier of few rows is broadcast, so that the edges stay where they are. Every
+A round joins the frontier to the edges that leave its last nodes, joins the payload of the new nodes (where an expression
+names any), and evaluates visit, next_state and stop as Spark columns. Where visit reads no payload of the new node, it is evaluated
+before that payload is joined; where it does, and the frontier is large, the payload is joined to the edges, which are fewer than
+the paths. Each round is one job, which also counts, but for the last round that max_depth allows: its paths and its counters are
+plans, run when they are asked for. A frontier of few rows is broadcast, so that the edges stay where they are. Every
 returned path has a key of integers by which the depth-first or breadth-first order is restored.
 
 A depth-first search that needs only its first paths expands the frontier in batches instead, in the order of the search: the
@@ -16,7 +18,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -110,12 +112,16 @@ def with_state(frame: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
 
 @dataclass
 class Found:
-    """The paths of a search as a frame in key order, and the counters."""
+    """The paths of a search as a frame in key order, and the counters, which may need a job of their own."""
 
     df: DataFrame
-    stats: SearchStats
+    count: Callable[[], SearchStats]
     state: T.StructType
 
+    @cached_property
+    def stats(self) -> SearchStats:
+        return self.count()
+
 
 def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     """paths: path (from 0, in search order), start, nodes, edges, state and, if asked for, states."""
@@ -143,26 +149,46 @@ def run(nodes: DataFrame, edges: DataFrame, traversal: Traversal) -> Found:
     if waiting != (starts.count() if isinstance(traversal.start_nodes, DataFrame) else len(traversal.start_nodes)):
         raise RuntimeError(f"unknown start node {starts.join(ends, '_id', 'left_anti').orderBy('start').first()['_id']!r}")
     stats = SearchStats(start_nodes=waiting, path_entries=waiting)
-    expand = lambda rows, n, depth: expanded(small(rows, n, depth), steps, None if plain else ends, columns, traversal)
+    early = not reads_dest(kernel.visit)
+
+    def expand(rows: DataFrame, n: int, depth: int) -> DataFrame:
+        if few(rows, n, depth):
+            return expanded(F.broadcast(rows), steps, None if plain else ends, columns, traversal, early)
+        if plain or early:
+            return expanded(rows, steps, None if plain else ends, columns, traversal, early)
+        return expanded(rows, steps.join(ends, F.col("_dest") == F.col("_id"), "left").drop("_id"), None, columns, traversal, early)
+
+    last = None
     if traversal.max_paths == 0 or not waiting:
         found, levels = [], []
     elif traversal.strategy == "dfs" and traversal.max_paths is not None:
         found, levels = depth_first(frontier, waiting, expand, traversal, stats)
     else:
-        found, levels = level_by_level(frontier, waiting, expand, traversal, stats)
+        found, levels, last = level_by_level(frontier, waiting, expand, traversal, stats)
     paths = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], frontier.schema).withColumn("depth", F.lit(0))
     order = order_key(traversal.strategy)
     if traversal.max_paths is not None:
         paths = cut(paths.orderBy(order).limit(traversal.max_paths))
-        if levels and stats.stopped_paths >= traversal.max_paths:
-            stats = truncated(levels, paths, order, traversal, stats)
+
+    def count() -> SearchStats:
+        if last is not None:
+            add(stats, last.agg(*tallies()).first().asDict(), traversal.max_depth)
+        if traversal.max_paths is not None and levels and stats.stopped_paths >= traversal.max_paths:
+            return truncated(levels, paths, order, traversal, stats)
+        return stats
+
     ranked = paths.select(order.alias("_key"), "start", "nodes", "edges", "state", *(["states"] if traversal.intermediate_states else []))
-    return Found(ranked, stats, kind)
+    return Found(ranked, count, kind)
+
 
+def few(rows: DataFrame, n: int, depth: int) -> bool:
+    """Whether rows may be broadcast: their number and the length of their paths bound them, and no field can be long."""
+    return n * (depth + 1) <= FEW and all(short(f.dataType) for f in rows.schema if f.name not in ("nodes", "edges", "key"))
 
-def small(rows: DataFrame, n: int, depth: int) -> DataFrame:
-    """The rows, to be broadcast where their number and the length of their paths bound them, and no field can be long."""
-    return F.broadcast(rows) if n * (depth + 1) <= FEW and all(short(f.dataType) for f in rows.schema if f.name not in ("nodes", "edges", "key")) else rows
+
+def reads_dest(expr: Expr) -> bool:
+    """Whether an expression names, or as a Spark column may name, the new node."""
+    return expr.op == "spark" or expr.op == "col" and expr.options["scope"] == "dest" or any(map(reads_dest, expr.args))
 
 
 def short(kind: T.DataType) -> bool:
@@ -170,22 +196,33 @@ def short(kind: T.DataType) -> bool:
     return all(short(f.dataType) for f in kind) if isinstance(kind, T.StructType) else not isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))
 
 
+def tallies() -> list[Column]:
+    return [*(F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).alias(n) for n, c in (("skipped", "_skip"), ("accepted", "_ok"), ("stopped", "_stop"))), F.count(F.lit(1)).alias("all")]
+
+
 def counted(level: DataFrame, keep: Column | None = None) -> tuple[DataFrame, dict[str, int]]:
     """A level, checkpointed, and its counters, in one job."""
     seen = Observation()
-    level = level.observe(seen, *(F.sum(c.cast("bigint")).alias(n) for n, c in (("skipped", F.col("_skip")), ("accepted", F.col("_ok")), ("stopped", F.col("_stop")))), F.count(F.lit(1)).alias("all"))
+    level = level.observe(seen, *tallies())
     level = cut(level if keep is None else level.where(keep))
     return level, {k: v or 0 for k, v in seen.get.items()}
 
 
-def level_by_level(frontier: DataFrame, waiting: int, expand: Expand, traversal: Traversal, stats: SearchStats) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The paths that stop, and the candidates, of each level."""
+def level_by_level(frontier: DataFrame, waiting: int, expand: Expand, traversal: Traversal, stats: SearchStats) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """The paths that stop, and the candidates, of each level; and the level that max_depth makes the last one, if it is reached: a plan whose
+    candidates are not in the counters yet."""
     found, levels, depth, names = [], [], 0, frontier.columns
+    whole = traversal.max_paths is not None and traversal.parallel in (False, "off")  # the counters need rejected candidates too
     while waiting and (traversal.max_depth is None or depth < traversal.max_depth):
         if traversal.max_frontier is not None and waiting > traversal.max_frontier:
             raise RuntimeError(f"{waiting} paths of length {depth} are more than max_frontier")
         depth += 1
-        level, counts = counted(expand(frontier, waiting, depth), None if traversal.max_paths is not None else F.col("_ok"))
+        if depth == traversal.max_depth and not traversal.progress:
+            level = expand(frontier, waiting, depth)
+            found.append(level.where("_ok AND _stop").withColumn("depth", F.lit(depth)))
+            levels.append(level.withColumn("depth", F.lit(depth)))
+            return found, levels, level
+        level, counts = counted(expand(frontier, waiting, depth), None if whole else F.col("_ok"))
         add(stats, counts, depth)
         found.append(level.where("_stop").withColumn("depth", F.lit(depth)))
         levels.append(level.withColumn("depth", F.lit(depth)))
@@ -195,7 +232,7 @@ def level_by_level(frontier: DataFrame, waiting: int, expand: Expand, traversal:
         if traversal.max_paths is not None and stats.stopped_paths >= traversal.max_paths:
             break
         frontier = level.where("_ok AND NOT _stop").select(*names)
-    return found, levels
+    return found, levels, None
 
 
 def depth_first(frontier: DataFrame, waiting: int, expand: Expand, traversal: Traversal, stats: SearchStats) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -275,15 +312,23 @@ def compiled(kernel: Kernel, frame: DataFrame, kind: T.StructType) -> dict[str,
     return {"visit": compiler.predicate(kernel.visit).column, "stop": compiler.predicate(kernel.stop).column, "child": F.struct(*child) if child else F.col("state")}
 
 
-def expanded(frontier: DataFrame, steps: DataFrame, ends: DataFrame | None, columns: dict[str, Column], traversal: Traversal) -> DataFrame:
-    """Every candidate edge of a frontier: whether it is skipped, accepted, stopped; and the new path. Without ends, a node is its id."""
+def expanded(frontier: DataFrame, steps: DataFrame, ends: DataFrame | None, columns: dict[str, Column], traversal: Traversal, early: bool) -> DataFrame:
+    """Every candidate edge of a frontier: whether it is skipped, accepted, stopped; and the new path.
+
+    Without ends, steps hold the new node's payload as dest, or a node is its id. Early: visit reads no payload of the new node.
+    """
     times = F.size(F.filter("nodes", lambda n: n == F.col("_dest")))
+    ok = F.when(F.col("_skip"), F.lit(False)).otherwise(columns["visit"])
     candidates = frontier.join(steps, F.col("src.id") == F.col("_src")).withColumn("_skip", times > traversal.max_revisits_per_node)
-    if ends is None:
+    if early:
+        candidates = candidates.withColumn("_ok", ok)
+    if "dest" in steps.columns:
+        joined = candidates
+    elif ends is None:
         joined = candidates.withColumn("dest", F.struct(F.col("_dest").alias("id")))
     else:
-        joined = candidates.join(ends, (F.col("_dest") == F.col("_id")) & ~F.col("_skip"), "left")
-    visited = joined.withColumn("_ok", F.when(F.col("_skip"), F.lit(False)).otherwise(columns["visit"]))
+        joined = candidates.join(ends, (F.col("_dest") == F.col("_id")) & F.col("_ok" if early else "_skip").eqNullSafe(F.lit(early)), "left")
+    visited = joined if early else joined.withColumn("_ok", ok)
     moved = visited.withColumn("state", F.when(F.col("_ok"), columns["child"]))
     stopped = moved.withColumn("_stop", F.when(F.col("_ok"), columns["stop"]).otherwise(F.lit(False)))
     longer = [F.concat("nodes", F.array("_dest")).alias("nodes"), F.concat("key", F.array("_epos")).alias("key"), F.concat("edges", F.array("_eid")).alias("edges"), F.col("dest").alias("src"), "state"]

@@ -28,15 +28,23 @@ class SearchResult:
 
 
 class LazyResult(SearchResult):
-    """A result whose paths are fetched when they are first asked for."""
+    """A result whose paths are fetched, and whose counters are made up, when they are first asked for."""
 
     def __init__(self, found: Found, node: Callable[[Any], Hashable], edge: Callable[[Any], Hashable]) -> None:
-        self.stats, self._found, self._node, self._edge, self._paths = found.stats, found, node, edge, None
+        self._found, self._node, self._edge, self._paths = found, node, edge, None
 
     def frame(self) -> DataFrame:
         """start, nodes, edges, state (and states) of each path, with engine ids; ``_key`` sorts them in search order."""
         return self._found.df
 
+    @property
+    def stats(self) -> SearchStats:  # type: ignore[override]
+        return self._found.stats
+
+    @stats.setter
+    def stats(self, value: SearchStats) -> None:
+        self._found.stats = value
+
     @property
     def paths(self) -> list[Path]:  # type: ignore[override]
         if self._paths is None:
