@@ -42,7 +42,8 @@ def supply(spark: SparkSession, sf_dir: str, lines: bool = True, of: type[Graph]
     nodes = customers.select((F.col("c_custkey") * 4).alias("id"), F.lit("customer").alias("kind")).unionByName(orders.select((F.col("o_orderkey") * 4 + 1).alias("id"), F.lit("order").alias("kind")))
     edges = orders.select((F.col("o_orderkey") * 1024).alias("id"), (F.col("o_custkey") * 4).alias("src"), (F.col("o_orderkey") * 4 + 1).alias("dest"), F.col("o_totalprice").alias("price"), F.lit(0).cast("bigint").alias("quantity"))
     if lines:
-        items = read(spark, sf_dir, "lineitem")
+        # The first columns of the table number the lines; lines that agree in these are the same edge but for the number.
+        items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
         number = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*items.columns))
         nodes = nodes.unionByName(read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 4 + 2).alias("id"), F.lit("supplier").alias("kind")))
         edges = edges.unionByName(items.select(
